@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import OWN
+from .support import written
 
 OPEN, CLOSE = "### ", "</turn>\n"
 ROUNDS = 40
@@ -55,22 +55,21 @@ def paths(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     ``nodes``: ``conv, node, parent, score``.  A parent that is not there, or a
     node of itself, makes a root.  Pointers on a cycle never end and raise.
     """
-    same = lambda a, b, k: a["conv"].eqNullSafe(b["conv"]) & (a[k] == b["node"])
     known = nodes.select("conv", F.col("node").alias("p"))
     up = nodes.alias("a").join(known.alias("b"), F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.parent") == F.col("b.p")) & (F.col("a.parent") != F.col("a.node")), "left")
-    state = up.select("a.conv", "a.node", F.col("b.p").alias("jump"), F.lit(0).cast("bigint").alias("depth"), F.col("a.score").alias("total")).checkpoint()
-    state = state.withColumn("depth", F.when(F.col("jump").isNotNull(), 1).otherwise(0).cast("bigint"))
+    state = up.select("a.conv", "a.node", F.col("b.p").alias("jump"), F.lit(0).cast("bigint").alias("depth"), F.col("a.score").alias("total"))
+    state = written(state.withColumn("depth", F.when(F.col("jump").isNotNull(), 1).otherwise(0).cast("bigint")), "replies")
     used = [state]
     for _ in range(ROUNDS):
         if state.filter("jump is not null").isEmpty():
             return state.select("conv", "node", "depth", "total"), used
         a, b = state.alias("a"), state.alias("b")
         far = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.jump") == F.col("b.node")), "left")
-        state = far.select(
+        state = written(far.select(
             "a.conv", "a.node", F.col("b.jump").alias("jump"),
             (F.col("a.depth") + F.coalesce(F.col("b.depth"), F.lit(0))).alias("depth"),
             (F.col("a.total") + F.coalesce(F.col("b.total"), F.lit(0.0))).alias("total"),
-        ).checkpoint()
+        ), "replies")
         used.append(state)
     raise ValueError("the replies contain a cycle")
 
@@ -85,7 +84,8 @@ def choose_paths(replies: DataFrame, per_tree: int = 1) -> DataFrame:
     a, b = reach.alias("a"), parents.alias("b")
     leaves = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.node") == F.col("b.node")), "left_anti")
     best = Window.partitionBy("conv").orderBy((F.col("total") / (F.col("depth") + 1)).desc(), F.col("depth").desc(), F.col("node"))
-    marked = leaves.withColumn("path", F.row_number().over(best)).filter(F.col("path") <= per_tree).select("conv", "node", "path").checkpoint()
+    marked = leaves.withColumn("path", F.row_number().over(best)).filter(F.col("path") <= per_tree).select("conv", "node", "path")
+    marked = written(marked, "paths")
     for hop in reversed(used[:-1]):
         h = hop.filter("jump is not null").alias("h")
         m = marked.alias("m")
