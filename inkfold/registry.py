@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import merging
+
+AREAS = [merging]
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for area in AREAS for name, (query, _) in area.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for area in AREAS for name, (_, sql) in area.QUERIES.items() if sql}
