@@ -49,8 +49,3 @@ def tag_key(tags: Column) -> Column:
 
 def epoch_text(seconds: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.date_format(F.timestamp_seconds(seconds), pattern)
-
-
-def merge_maps(base: Column, override: Column) -> Column:
-    """Key-wise merge of two maps, the right side winning."""
-    return F.map_zip_with(base, override, lambda _, left, right: F.coalesce(right, left))

@@ -8,6 +8,7 @@ that contain characters it can change.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,20 +23,30 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def rewrite_hits(text: Column, pattern: str, fix: Callable[[Column], Column]) -> Column:
+    """Replace each match of ``pattern`` by ``fix`` of it; linear in the text."""
+
+    def woven(value: Column) -> Column:
+        hits = F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), fix)
+        parts = F.zip_with(F.split(value, pattern, -1), hits, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
+        return F.array_join(parts, "")
+
+    return bound(text, woven)
+
+
 def lower_email_tail(text: Column) -> Column:
     """Lower-case what follows the first dot of each address's domain."""
-    hits = F.regexp_extract_all(text, F.lit(fixed.EMAIL_CASE), F.lit(0))
 
     def fix(hit: Column) -> Column:
         head = F.regexp_extract(hit, r"^[^@]*@[^.]*\.", 0)
         return F.concat(head, F.lower(F.substr(hit, F.length(head) + 1)))
 
-    # text between the hits, woven together again with the corrected hits
-    between = F.split(text, fixed.EMAIL_CASE, -1)
-    woven = F.zip_with(
-        between, F.transform(hits, fix), lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))
-    )
-    return F.when(text.contains("@"), F.array_join(woven, "")).otherwise(text)
+    return rewrite_hits(text, fixed.EMAIL_CASE, fix)
 
 
 def normalize_folded(text: Column) -> Column:
@@ -76,7 +87,7 @@ def english(text: Column) -> Column:
     out = F.array_join(capital, " ")
     for wrong, right in fixed.ENGLISH_TERMS.items():
         rule = rf"(?U)\b{re.escape(wrong)}(?!\w)"
-        out = F.when(out.contains(wrong), F.regexp_replace(out, rule, right)).otherwise(out)
+        out = F.regexp_replace(out, rule, right)
     return out
 
 
@@ -84,23 +95,19 @@ def chinese(text: Column) -> Column:
     return F.regexp_replace(plain_dots(ascii_digits(text)), rf"(?U)。{SPACE}*", "。\n")
 
 
-def _prefix_amount(text: Column, sign: str) -> Column:
-    """``¥ 1234567`` to ``¥1,234,567``: tidy the run of four or more digits, then group it."""
-    quoted = re.escape(sign)
-    tidy = F.regexp_replace(text, rf"(?U){quoted}{SPACE}*(?=[0-9]{{4,}})0*(?=[0-9])", f"\\{sign}")
-    return F.regexp_replace(
-        tidy, rf"(?=(?:[0-9]{{3}})+(?![0-9]))(?<={quoted}[0-9]{{1,60}})", ","
-    )
+def _grouped(digits: Column) -> Column:
+    """``1234567`` to ``1,234,567``, for any number of digits."""
+    return F.reverse(F.regexp_replace(F.reverse(digits), "([0-9]{3})(?=[0-9])", "$1,"))
 
 
-def _suffix_amount(text: Column, unit: str, gap: str) -> Column:
-    """``1234567 円`` to ``1,234,567円``."""
-    tidy = F.regexp_replace(
-        text,
-        rf"(?U)(?<![0-9])(?=[0-9]{{4,}}{SPACE}*{unit})0*([0-9]+){SPACE}*{unit}",
-        f"$1{gap}{unit}",
-    )
-    return F.regexp_replace(tidy, rf"(?<=[0-9])(?=(?:[0-9]{{3}})+{gap}{unit})", ",")
+def _amount(text: Column, pattern: str, before: str, after: str) -> Column:
+    """Rewrite runs of four or more digits at a currency sign: no leading zeros, digits in groups."""
+
+    def fix(hit: Column) -> Column:
+        digits = F.regexp_extract(hit, "[0-9]+", 0)
+        return F.concat(F.lit(before), _grouped(F.regexp_replace(digits, "^0+(?=[0-9])", "")), F.lit(after))
+
+    return rewrite_hits(text, pattern, fix)
 
 
 def business_formats(text: Column, lang: str) -> Column:
@@ -108,9 +115,9 @@ def business_formats(text: Column, lang: str) -> Column:
     out = text
     for kind, pattern, replacement in fixed.BUSINESS_FORMATS.get(lang, []):
         if kind == "prefix_amount":
-            out = F.when(out.contains(pattern), _prefix_amount(out, pattern)).otherwise(out)
+            out = _amount(out, rf"(?U){re.escape(pattern)}{SPACE}*[0-9]{{4,}}", pattern, "")
         elif kind == "suffix_amount":
-            out = F.when(out.contains(pattern), _suffix_amount(out, pattern, replacement)).otherwise(out)
+            out = _amount(out, rf"(?U)(?<![0-9])[0-9]{{4,}}+{SPACE}*{pattern}", "", replacement + pattern)
         else:
             out = F.regexp_replace(out, "(?U)" + pattern, replacement)
     return out
@@ -128,11 +135,14 @@ LANGUAGE_RULES = {
 def language_steps(text: Column, lang: Column) -> Column:
     """Language rules and business formats for already commonly normalised text."""
     lang = F.coalesce(lang, F.lit("eng"))
-    branches = None
-    for code, rule in LANGUAGE_RULES.items():
-        out = business_formats(rule(text), code)
-        branches = F.when(lang == code, out) if branches is None else branches.when(lang == code, out)
-    return branches.otherwise(text)
+
+    def chosen(value: Column) -> Column:
+        branches = F
+        for code, rule in LANGUAGE_RULES.items():
+            branches = branches.when(lang == code, business_formats(rule(value), code))
+        return branches.otherwise(value)
+
+    return bound(text, chosen)
 
 
 def split_sentences(text: Column, lang: Column) -> Column:
@@ -166,27 +176,36 @@ def strip_markup(html: Column) -> Column:
     return out
 
 
+EXTENSION = r"(?s)^(?:.*/)?\.*[^./][^/]*(\.[^./]*)$"
+
+
 def extension(name: Column) -> Column:
-    """Lower-cased extension with its dot; a leading dot starts a name, not an extension."""
-    return F.lower(F.regexp_extract(name, r"(?s)^.*[^./][^./]*?(\.[^./]*)$", 1))
+    """Lower-cased extension with its dot; leading dots start a name, not an extension."""
+    return F.lower(F.regexp_extract(name, EXTENSION, 1))
 
 
-def safe_file_name(name: Column) -> Column:
-    raw_ext = F.regexp_extract(name, r"(?s)^.*[^./][^./]*?(\.[^./]*)$", 1)
-    stem = F.substr(name, F.lit(1), F.length(name) - F.length(raw_ext))
+def clean_stem(name: Column) -> Column:
+    """Stem of a file name without illegal characters and spaces; empty if nothing is left."""
+    stem = F.substr(name, F.lit(1), F.length(name) - F.length(F.regexp_extract(name, EXTENSION, 1)))
     stem = F.regexp_replace(stem, r'[\\/*?:"<>|]', "")
     stem = F.regexp_replace(stem, rf"(?U){SPACE}+", "_")
-    stem = F.substring(F.regexp_replace(stem, "_+", "_"), 1, fixed.MAX_NAME_CHARS)
-    return F.concat(stem, raw_ext)
+    return F.regexp_replace(stem, "_+", "_")
+
+
+def safe_file_name(name: Column, max_chars: int = fixed.MAX_NAME_CHARS) -> Column:
+    """Clean stem of at most ``max_chars`` and the extension; a name without a stem gets one from its hash."""
+    stem = F.substring(clean_stem(name), 1, max_chars)
+    fallback = F.concat(F.lit("file_"), F.substring(F.md5(name.cast("binary")), 1, 12))
+    return F.concat(F.when(stem == "", fallback).otherwise(stem), F.regexp_extract(name, EXTENSION, 1))
 
 
 def readable_size(size: Column) -> Column:
     """``1536`` to ``1.50 KB``; a size moves up a unit only when strictly above 1024."""
-    out = None
+    out = F
     for power, unit in enumerate(fixed.SIZE_UNITS):
-        text = F.format_string(f"%.2f {unit}", size.cast("double") / float(1024**power))
+        scaled = size.cast("double") / float(1024**power)
+        text = F.format_string(f"%.2f {unit}", F.bround(scaled, 2))
         if power == len(fixed.SIZE_UNITS) - 1:
             return out.otherwise(text)
-        fits = size.cast("double") / float(1024**power) <= 1024
-        out = F.when(fits, text) if out is None else out.when(fits, text)
+        out = out.when(scaled <= 1024, text)
     return out

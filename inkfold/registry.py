@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import merging
+from .plans import assembly, entities, merging, texts
 
-AREAS = [merging]
+AREAS = [merging, texts, entities, assembly]
 
 
 def queries() -> dict:

@@ -1,12 +1,8 @@
-"""Session settings and the shared folder for written intermediates."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "inkfold", master: str | None = None, **conf) -> SparkSession:
@@ -22,28 +18,3 @@ def build_session(app: str = "inkfold", master: str | None = None, **conf) -> Sp
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, as named in ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder of its own machine.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="inkfold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the files.
-
-    Cuts the lineage of iterative work; a lost executor only costs a re-read.
-    """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"step-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
