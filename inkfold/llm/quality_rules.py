@@ -73,9 +73,10 @@ def default_rules(text_col: str = "text") -> dict[str, Column]:
     return {
         "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
         "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
-        "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "repeated_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
         "few_letters": 10 * letters < 6 * F.col("word_chars"),
         "capitals": 10 * capitals > 4 * letters,
+        "stutter": 5 * F.regexp_count(text, F.lit(r"(?:^|\s)(\S++)(?=\s+\1(?:\s|$))")) > F.col("n_words"),
     }
 
 
