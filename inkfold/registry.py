@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import assembly, entities, merging, texts
+from .plans import assembly, entities, fields, layout, merging, metrics, streams, texts
 
-AREAS = [merging, texts, entities, assembly]
+AREAS = [merging, texts, entities, assembly, fields, layout, metrics, streams]
 
 
 def queries() -> dict:
