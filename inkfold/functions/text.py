@@ -39,6 +39,10 @@ def rewrite_hits(text: Column, pattern: str, fix: Callable[[Column], Column]) ->
     return bound(text, woven)
 
 
+#: An address begins where its run of characters does or the last match ended, so long runs are read once.
+ADDRESS = r"(?:\G|(?<![a-zA-Z0-9_.+-]))" + fixed.EMAIL_CASE
+
+
 def lower_email_tail(text: Column) -> Column:
     """Lower-case what follows the first dot of each address's domain."""
 
@@ -46,7 +50,7 @@ def lower_email_tail(text: Column) -> Column:
         head = F.regexp_extract(hit, r"^[^@]*@[^.]*\.", 0)
         return F.concat(head, F.lower(F.substr(hit, F.length(head) + 1)))
 
-    return rewrite_hits(text, fixed.EMAIL_CASE, fix)
+    return rewrite_hits(text, ADDRESS, fix)
 
 
 def normalize_folded(text: Column) -> Column:

@@ -10,6 +10,10 @@ from ..functions import fixed
 PAGE = ["doc_id", "page_num"]
 
 
+#: An address begins where its run of characters does or the last match ended, so long runs are read once.
+EMAIL = r"(?:\G|(?<![a-zA-Z0-9._%+-]))" + fixed.EMAIL_PATTERN
+
+
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
@@ -37,7 +41,7 @@ def extract_entities(df: DataFrame, column: str = "text", lang: str = "lang") ->
     """Distinct entities per page; e-mails and phones in every language, the rest where rules exist."""
     text = F.coalesce(F.col(column), F.lit(""))
     none = F.array().cast("array<string>")
-    found = {"emails": _all(text, fixed.EMAIL_PATTERN), "phones": F.concat(*[_all(text, p) for p in fixed.PHONE_PATTERNS])}
+    found = {"emails": _all(text, EMAIL), "phones": F.concat(*[_all(text, p) for p in fixed.PHONE_PATTERNS])}
     for kind in ("companies", "dates", "amounts"):
         branches = F
         for code, rules in fixed.ENTITY_PATTERNS.items():
