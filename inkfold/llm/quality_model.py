@@ -91,8 +91,8 @@ def pool(texts: list[bytes], vectors: np.ndarray, hasher: WordHasher) -> np.ndar
     for at, group in groups(texts):
         starts, ends, hashes, firsts = hasher.group(group)
         data = np.frombuffer(b"\0".join(group), np.uint8)
-        letters = np.concatenate(([0], np.cumsum(LETTER[data])))
-        capitals = np.concatenate(([0], np.cumsum(CAPITAL[data])))
+        letters = np.concatenate(([0], np.cumsum(LETTER[data], dtype=np.int32)))
+        capitals = np.concatenate(([0], np.cumsum(CAPITAL[data], dtype=np.int32)))
         places = slots(hashes)
         for k, text in enumerate(group):
             a, b = int(firsts[k]), int(firsts[k + 1])

@@ -93,5 +93,69 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op3_simhash, op4_quality_model, op5_pii, op6_language_id, op7_chat, op8_mixing, op9_html, op10_toxicity)}
 
 
+_WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+_OP1 = rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS} AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w) u),
+twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+covered AS (SELECT r, sum(least(8, i - coalesce(p, -8))) AS n FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM twice) z GROUP BY 1),
+f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+  length(regexp_replace(t, '\PL+', '', 'g')) AS letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS capitals,
+  len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS stutters
+  FROM w LEFT JOIN covered USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_dup_lines > n_lines OR 10 * letters < 6 * word_chars OR 10 * capitals > 4 * letters OR 5 * stutters > n_words AS bad FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM b"""
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CUT = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP2 = f"""WITH i AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_CUT.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+iw AS (SELECT item, k, array_to_string(w[p:p + k - 1], ' ') AS x FROM (SELECT item, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0) u),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_CUT.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+dw AS (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS x FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw) l WHERE len(w) >= k) u),
+hits AS (SELECT r, p, k, item FROM dw JOIN iw USING (k, x)),
+places AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hits) u GROUP BY 1),
+found AS (SELECT r, count(DISTINCT item) AS m, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hits GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(m, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
+
+_ESCAPED = r"length({0}) + length({0}) - length(replace({0}, '\', '')) + length({0}) - length(replace({0}, '#', '')) - len(regexp_extract_all({0}, '#+')) + (length({0}) - length(replace({0}, '</turn>', ''))) // 7"
+_OP7 = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+  sum(14 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS chars FROM c GROUP BY 1)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM t"""
+
+
+def _share(children: str, parent: str, name: str) -> str:
+    """SQL that shares each parent's budget among its children, as ``mixing.share_out`` does."""
+    w = f"OVER (PARTITION BY {parent} ORDER BY cap / weight, {name}"
+    return f"""(SELECT *, CASE WHEN fits THEN cap ELSE (budget - min(CASE WHEN NOT fits THEN spent END) OVER (PARTITION BY {parent})) * weight // max(CASE WHEN NOT fits THEN rest END) OVER (PARTITION BY {parent}) END AS given
+  FROM (SELECT *, (budget - spent) * weight >= cap * rest AS fits FROM (SELECT *, CAST(coalesce(sum(cap) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent,
+    CAST(sum(weight) {w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest FROM {children}) a) b)"""
+
+
+def _weight(path: str) -> str:
+    return "CASE " + path + "".join(f" WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS.items()) + " ELSE 1 END AS weight"
+
+
+_OP8 = rf"""WITH s AS (SELECT doc_id, lang, source, coalesce(lang, '(none)') AS g, coalesce(source, '(none)') AS s,
+    CASE WHEN regexp_matches(coalesce(source, ''), '[0-9]{{1,9}}$') THEN 'domain' || (CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) ELSE 'other' END AS d,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS base FROM documents),
+leaf AS (SELECT d, g, s, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {MIX_EPOCHS} AS BIGINT) AS cap FROM s GROUP BY 1, 2, 3),
+total AS (SELECT CAST(sum(tokens) // 2 AS BIGINT) AS budget FROM leaf),
+dom AS (SELECT d, CAST(sum(cap) AS BIGINT) AS cap, 0 AS root, any_value(budget) AS budget, {_weight("d")} FROM leaf, total GROUP BY d),
+dom2 AS (SELECT d, given AS budget FROM {_share("dom", "root", "d")} z),
+lan AS (SELECT d, g, CAST(sum(cap) AS BIGINT) AS cap, any_value(budget) AS budget, {_weight("d || '/' || g")} FROM leaf JOIN dom2 USING (d) GROUP BY d, g),
+lan2 AS (SELECT d, g, given AS budget FROM {_share("lan", "d", "g")} z),
+sou AS (SELECT d, g, s, tokens, cap, budget, {_weight("d || '/' || g || '/' || s")} FROM leaf JOIN lan2 USING (d, g)),
+plan AS (SELECT d, g, s, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS epochs, given - CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END * tokens AS rest FROM {_share("sou", "d, g", "s")} z),
+k AS (SELECT s.*, epochs, rest, md5('{MIX_SEED}:' || epochs || ':' || base) AS key FROM s JOIN plan USING (d, g, s) WHERE tokens > 0),
+u AS (SELECT *, epochs + CASE WHEN sum(tokens) OVER (PARTITION BY d, g, s ORDER BY key) <= rest THEN 1 ELSE 0 END AS draws FROM k)
+SELECT doc_id, d AS domain, lang, source, tokens, CAST(unnest(range(draws)) AS INT) AS epoch FROM u"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the query; the others are tested by brute force or held-out labels."""
+    return {"op1_quality_rules": _OP1, "op2_decontaminate": _OP2, "op7_chat": _OP7, "op8_mixing": _OP8}
