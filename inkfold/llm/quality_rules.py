@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .support import OWN, written
 
-SAMPLE_ROWS, WINDOW, MIN_WORDS = 2000, 8, 20
+SAMPLE_ROWS, SAMPLE_BYTES, WINDOW, MIN_WORDS = 1000, 50_000, 8, 20
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -80,9 +80,18 @@ def default_rules(text_col: str = "text") -> dict[str, Column]:
     }
 
 
-def measure(docs: DataFrame, rules: Mapping[str, Column], rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, rejection rate, seconds) on a sample of at most ``rows`` rows."""
-    sample = written(docs.limit(rows), "rule-sample")
+def take_sample(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``rows`` rows with texts of up to ``max_bytes``, so that a bounded piece passes the driver.
+
+    ``take`` opens one partition after another until it has enough; a limit would read rows of each.
+    """
+    some = docs.filter(F.coalesce(F.octet_length(text_col), F.lit(0)) <= max_bytes).take(rows)
+    return docs.sparkSession.createDataFrame(some, docs.schema)
+
+
+def measure(sample: DataFrame, rules: Mapping[str, Column]) -> list[tuple[str, float, float]]:
+    """(rule, rejection rate, seconds) on the sample."""
+    sample = written(sample, "rule-sample")
 
     def timed(predicate: Column) -> tuple[float, int, int]:
         began = time.perf_counter()
@@ -102,17 +111,17 @@ def ordered(measured: list[tuple[str, float, float]]) -> list[str]:
     return [name for name, _, _ in sorted(measured, key=lambda x: -x[1] / x[2])]
 
 
-def cascade(docs: DataFrame, rules: Mapping[str, Column], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with ``rejected_by``: the first rule, in the measured order, that rejects the row, or null."""
+def cascade(docs: DataFrame, rules: Mapping[str, Column], sample: DataFrame) -> DataFrame:
+    """``docs`` with ``rejected_by``: the first rule, in the order measured on ``sample``, that rejects the row, or null."""
     verdict = None
-    for name in ordered(measure(docs, rules, sample_rows)):
+    for name in ordered(measure(sample, rules)):
         verdict = (F if verdict is None else verdict).when(rules[name], name)
     return docs.withColumn("rejected_by", F.lit(None).cast("string") if verdict is None else verdict)
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules: Mapping[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with features, ``base_failed``, ``rejected_by`` and ``kept``."""
-    out = with_features(docs, text_col)
-    out = cascade(out, default_rules(text_col) if rules is None else rules, sample_rows)
+    sample = with_features(take_sample(docs, text_col, sample_rows), text_col)
+    out = cascade(with_features(docs, text_col), default_rules(text_col) if rules is None else rules, sample)
     out = out.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
