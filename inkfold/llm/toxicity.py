@@ -182,7 +182,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, mi
     """Lexicon weights and the curve, from at most ``sample_rows`` labelled rows."""
     spark = docs.sparkSession
     chosen = labelled_sample(labels, "toxic", sample_rows)
-    sample = written(docs.select("doc_id", "text").join(chosen, "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text")).repartition(24), "toxic-sample")
+    # at most sample_rows ids are broadcast, so no text of another row is shuffled
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text")).repartition(24), "toxic-sample")
     total = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     counts: dict[str, tuple[int, int]] = {}
