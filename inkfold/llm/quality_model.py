@@ -182,8 +182,9 @@ def _scorer(spark, vectors: np.ndarray, network: Network | None):
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network | None]:
     vectors = word_vectors(docs)
     chosen = labelled_sample(labels, "quality", sample_rows)
+    # at most sample_rows ids are broadcast, so no text of another row is shuffled;
     # one text of each kind of copy: equal texts would only weigh the same row twice
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min("label").alias("label"), F.first("text").alias("text"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min("label").alias("label"), F.first("text").alias("text"))
     sample = written(sample.select("doc_id", "label", "text").repartition(24), "quality-sample")
     got = sample.select("doc_id", "label", _pooled(docs.sparkSession, vectors)("text").alias("x")).toPandas().sort_values("doc_id")
     y = got["label"].to_numpy(float)
