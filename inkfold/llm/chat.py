@@ -90,13 +90,14 @@ def choose_paths(replies: DataFrame, per_tree: int = 1) -> DataFrame:
         h = hop.filter("jump is not null").alias("h")
         m = marked.alias("m")
         more = m.join(h, F.col("m.conv").eqNullSafe(F.col("h.conv")) & (F.col("m.node") == F.col("h.node"))).select("m.conv", F.col("h.jump").alias("node"), "m.path")
-        marked = marked.union(more).distinct()
+        marked = written(marked.union(more).distinct(), "paths")  # a plan that names itself twice would double every round
     r, m = reach.alias("r"), marked.alias("m")
     return m.join(r, F.col("m.conv").eqNullSafe(F.col("r.conv")) & (F.col("m.node") == F.col("r.node"))).select("m.conv", "m.node", "r.depth", "m.path")
 
 
 def format_replies(replies: DataFrame, per_tree: int = 1) -> DataFrame:
     """``conv, path, n_turns, formatted, loss_spans``: one row for each chosen path."""
+    replies = written(replies, "replies")  # texts are ordered once
     chosen = choose_paths(replies.select("conv", "node", "parent", "score"), per_tree)
     c, r = chosen.alias("c"), replies.alias("r")
     turns = r.join(c, F.col("c.conv").eqNullSafe(F.col("r.conv")) & (F.col("c.node") == F.col("r.node")))
