@@ -6,16 +6,16 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments).  The blocks are written once.  Within each host the pages are sorted
 by address path, over ranges of the whole table rather than host by host, and
 each page is paired with the neighbour whose path shares the longer beginning.
-The blocks of both are aligned by their longest common subsequence, and shared
-blocks are deleted where the markup does not place them inside an article: the
-frame of a site repeats on its pages, while an article that two pages share (a
-copy under a second address) is still main text.
+The lines of both, compared by their hashes, are aligned by their longest common
+subsequence, and shared lines are deleted where the markup does not place them
+inside an article: the frame of a site repeats on its pages, while an article
+that two pages share (a copy under a second address) is still main text.
 
 Defined results: a null or empty page has no text; a page alone on its host, or
 one that repeats its neighbour's whole frame and has no article, keeps what the
 markup leaves; a null address is host and path ``""``; repeated pages pair up
-like others.  Columns of the input stay; columns named like an output are
-replaced.
+like others.  Columns of the input stay but for the markup; columns named like an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ NEGATIONS = ["has", "no", "with", "without"]
 ROLES = ["banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search"]
 # ------------------------------------------------------------------------------------------
 CLOSED_BY = {"p": {*BLOCKS, *SKIPPED} - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
 SPACE = re.compile(r"\s+")
@@ -78,7 +80,7 @@ def _unwanted(tag: str, attributes: str) -> bool:
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
-    """(text, place) of each block in page order; place is ``OUTSIDE`` or ``ARTICLE``, other blocks are left out."""
+    """(text, place) of each block in page order; place is ``SKIP``, ``OUTSIDE`` or ``ARTICLE``."""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # open elements with the place of their text
     held: list[str] = []
@@ -88,10 +90,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
         return stack[-1][1] if stack else OUTSIDE
 
     def flush() -> None:
-        if held and place() != SKIP:
-            text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
-            if text:
-                out.append((text, place()))
+        text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
+        if text:
+            out.append((text, place()))
         held.clear()
 
     while found := TOKEN.search(page, at):
@@ -138,7 +139,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def shared(mine: list[str], theirs: list[str]) -> set[int]:
+def shared(mine: list, theirs: list) -> set[int]:
     """Places in ``mine`` of a longest common subsequence with ``theirs``; rows of bits, so memory is n*m/8 bytes at most."""
     start = 0
     while start < min(len(mine), len(theirs)) and mine[start] == theirs[start]:
@@ -151,7 +152,7 @@ def shared(mine: list[str], theirs: list[str]) -> set[int]:
     common = set(left) & set(right)
     left_at = [start + i for i, x in enumerate(left) if x in common]
     left, right = [x for x in left if x in common], [x for x in right if x in common]
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for j, x in enumerate(right):
         masks[x] = masks.get(x, 0) | 1 << j
     full = (1 << len(right)) - 1
@@ -173,28 +174,40 @@ def shared(mine: list[str], theirs: list[str]) -> set[int]:
     return same
 
 
-def main_text(own: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> str:
-    """The article's blocks; where there is no article, the blocks that the partner does not share."""
-    drop = shared([x for x, _ in own], [x for x, _ in partner]) if partner else set()
-    has_article = any(place == ARTICLE for _, place in own)
-    kept = [x for k, (x, place) in enumerate(own) if (place == ARTICLE if has_article else k not in drop)]
-    if not kept and not has_article:  # a copy of its partner: nothing tells frame and text apart
-        kept = [x for x, _ in own]
+def line_hash(text: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode())).view(np.int64))
+
+
+def main_text(own: list[tuple[int, int, str | None]], partner: list[int] | None) -> str:
+    """Blocks of (hash, place, text) that neither the markup nor the partner's lines take away.
+
+    Lines inside an article are main text even if the partner has them.  Where a
+    page has an article, lines outside of it are frame.
+    """
+    drop = shared([h for h, _, _ in own], partner) if partner else set()
+    article = any(place == ARTICLE for _, place, _ in own)
+    kept = [t for k, (_, place, t) in enumerate(own) if place == ARTICLE or place == OUTSIDE and not article and k not in drop]
+    if not kept and not article:  # a copy of its partner: nothing tells frame and text apart
+        kept = [t for _, place, t in own if place == OUTSIDE]
     return "\n\n".join(kept)
 
 
-_BLOCK = pa.list_(pa.struct([("text", pa.string()), ("place", pa.int8())]))
+_LINE = pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int8()), ("text", pa.string())]))
 
 
-@arrow_column("array<struct<text:string,place:tinyint>>")
-def _blocks(page: pa.Array) -> pa.Array:
-    return pa.array([[{"text": t, "place": k} for t, k in blocks(x or "")] for x in page.to_pylist()], _BLOCK)
+def lines(page: str) -> list[tuple[int, int, str | None]]:
+    """Blocks with their hash; the text of those that are never main text is not carried on."""
+    return [(line_hash(t), k, t if k != SKIP else None) for t, k in blocks(page)]
+
+
+@arrow_column("array<struct<h:bigint,place:tinyint,text:string>>")
+def _lines(page: pa.Array) -> pa.Array:
+    return pa.array([[{"h": h, "place": k, "text": t} for h, k, t in lines(x or "")] for x in page.to_pylist()], _LINE)
 
 
 @arrow_column("string")
 def _main_text(own: pa.Array, partner: pa.Array) -> pa.Array:
-    as_pairs = lambda x: None if x is None else [(b["text"], b["place"]) for b in x]
-    return pa.array([main_text(as_pairs(a) or [], as_pairs(b)) for a, b in zip(own.to_pylist(), partner.to_pylist(), strict=True)], pa.string())
+    return pa.array([main_text([(b["h"], b["place"], b["text"]) for b in a or []], b) for a, b in zip(own.to_pylist(), partner.to_pylist(), strict=True)], pa.string())
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -231,12 +244,15 @@ def nearest(keys: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` with ``text`` (empty if none) and ``n_chars``."""
-    row, own, partner = f"{OWN}row", f"{OWN}blocks", f"{OWN}partner"
+    """``pages`` without the markup column, with ``text`` (empty if none) and ``n_chars``.
+
+    A page meets its partner's line hashes only; texts and markup of partners are not shuffled.
+    """
+    row, own, partner = f"{OWN}row", f"{OWN}lines", f"{OWN}partner"
     host, path = split_url(F.col(url_col))
-    cut = pages.withColumn(own, _blocks(F.col(html_col))).withColumn(row, F.monotonically_increasing_id())
-    cut = written(cut, "page-blocks")
+    cut = written(pages.withColumn(own, _lines(F.col(html_col))).drop(html_col).withColumn(row, F.monotonically_increasing_id()), "page-lines")
     links = nearest(cut.select(F.col(row).alias("row"), host.alias("host"), path.alias("path")))
-    links = links.join(cut.select(F.col(row).alias("partner"), F.col(own).alias(partner)), "partner").select(F.col("row").alias(row), partner)
+    hashes = cut.select(F.col(row).alias("partner"), F.transform(own, lambda x: x["h"]).alias(partner))
+    links = links.join(hashes, "partner").select(F.col("row").alias(row), partner)
     out = cut.join(links, row, "left").withColumn("text", _main_text(F.col(own), F.col(partner)))
     return out.drop(row, own, partner).withColumn("n_chars", F.length("text").cast("bigint"))
