@@ -9,7 +9,7 @@ import pyarrow as pa
 
 PRIME, WORD_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 PIECE_BYTES = 1 << 20
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 20
 
 
 def byte_table(words: set[int], lower: bool = True) -> np.ndarray:

@@ -37,10 +37,11 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn(words, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     out = out.withColumn(lines, F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
-    starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn(seen, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW)).otherwise(F.array().cast("array<int>"))
+    window = lambda i: [F.get(words, i + k) for k in range(WINDOW)]  # noqa: E731  a slice would copy the whole array each time
+    out = out.withColumn(seen, F.transform(starts, lambda i: F.xxhash64(*window(i))))
     twice = F.size(F.array_distinct(seen)) < F.size(seen)
-    pairs = F.transform(seen, lambda h, i: F.struct(h.alias("h"), F.hash(F.slice(words, i + 1, WINDOW)).alias("g"), i.alias("at")))
+    pairs = F.transform(seen, lambda h, i: F.struct(h.alias("h"), F.hash(*window(i)).alias("g"), i.alias("at")))
     out = out.withColumn(runs, F.when(twice, F.array_sort(pairs)).otherwise(F.array().cast("array<struct<h:bigint,g:int,at:int>>")))
 
     def repeated(x: Column, i: Column) -> Column:
