@@ -63,13 +63,15 @@ def paths(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     for _ in range(ROUNDS):
         if state.filter("jump is not null").isEmpty():
             return state.select("conv", "node", "depth", "total"), used
-        a, b = state.alias("a"), state.alias("b")
+        settled = state.filter("jump is null")  # only pointers that have not come to a root go on
+        a, b = state.filter("jump is not null").alias("a"), state.alias("b")
         far = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.jump") == F.col("b.node")), "left")
-        state = written(far.select(
+        far = far.select(
             "a.conv", "a.node", F.col("b.jump").alias("jump"),
             (F.col("a.depth") + F.coalesce(F.col("b.depth"), F.lit(0))).alias("depth"),
             (F.col("a.total") + F.coalesce(F.col("b.total"), F.lit(0.0))).alias("total"),
-        ), "replies")
+        )
+        state = written(settled.unionByName(far), "replies")
         used.append(state)
     raise ValueError("the replies contain a cycle")
 
