@@ -13,19 +13,21 @@ that two pages share (a copy under a second address) is still main text.
 
 Defined results: a null or empty page has no text; a page alone on its host, or
 one that repeats its neighbour's whole frame and has no article, keeps what the
-markup leaves; a null address is host and path ``""``; repeated pages pair up
-like others.  Columns of the input stay but for the markup; columns named like an
+markup leaves; a null address is host and path ``""``; repeated pages are one
+page and get the same text.  Columns of the input stay but for the markup; columns named like an
 output are replaced.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,22 +194,33 @@ def main_text(own: list[tuple[int, int, str | None]], partner: list[int] | None)
     return "\n\n".join(kept)
 
 
-_LINE = pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int8()), ("text", pa.string())]))
-
-
 def lines(page: str) -> list[tuple[int, int, str | None]]:
     """Blocks with their hash; the text of those that are never main text is not carried on."""
     return [(line_hash(t), k, t if k != SKIP else None) for t, k in blocks(page)]
 
 
-@arrow_column("array<struct<h:bigint,place:tinyint,text:string>>")
-def _lines(page: pa.Array) -> pa.Array:
-    return pa.array([[{"h": h, "place": k, "text": t} for h, k, t in lines(x or "")] for x in page.to_pylist()], _LINE)
+def packed(own: list[tuple[int, int, str | None]]) -> bytes:
+    return zstandard.ZstdCompressor(level=9).compress(json.dumps(own, ensure_ascii=False).encode(errors="surrogatepass"))
+
+
+def unpacked(data: bytes) -> list[tuple[int, int, str | None]]:
+    return json.loads(zstandard.ZstdDecompressor().decompress(data).decode(errors="surrogatepass"))
+
+
+@arrow_column("array<bigint>")
+def _hashes(page: pa.Array) -> pa.Array:
+    return pa.array([[line_hash(t) for t, _ in blocks(x or "")] for x in page.to_pylist()], pa.list_(pa.int64()))
+
+
+@arrow_column("binary")
+def _packed(page: pa.Array) -> pa.Array:
+    """A page's lines; they cross the shuffle compressed."""
+    return pa.array([packed(lines(x or "")) for x in page.to_pylist()], pa.binary())
 
 
 @arrow_column("string")
 def _main_text(own: pa.Array, partner: pa.Array) -> pa.Array:
-    return pa.array([main_text([(b["h"], b["place"], b["text"]) for b in a or []], b) for a, b in zip(own.to_pylist(), partner.to_pylist(), strict=True)], pa.string())
+    return pa.array([main_text(unpacked(a), b) for a, b in zip(own.to_pylist(), partner.to_pylist(), strict=True)], pa.string())
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -246,13 +259,16 @@ def nearest(keys: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` without the markup column, with ``text`` (empty if none) and ``n_chars``.
 
-    A page meets its partner's line hashes only; texts and markup of partners are not shuffled.
+    A page is known by the hash of its address and markup, so equal rows are one
+    page and get the same text.  It meets its partner's line hashes only: texts
+    and markup of partners are not shuffled, and the pages' own lines only once.
     """
-    row, own, partner = f"{OWN}row", f"{OWN}lines", f"{OWN}partner"
+    key, own, partner = f"{OWN}key", f"{OWN}lines", f"{OWN}partner"
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in (url_col, html_col)]
+    keyed = pages.withColumn(key, F.unhex(F.md5(F.concat_ws("\n", *parts).cast("binary"))))
     host, path = split_url(F.col(url_col))
-    cut = written(pages.withColumn(own, _lines(F.col(html_col))).drop(html_col).withColumn(row, F.monotonically_increasing_id()), "page-lines")
-    links = nearest(cut.select(F.col(row).alias("row"), host.alias("host"), path.alias("path")))
-    hashes = cut.select(F.col(row).alias("partner"), F.transform(own, lambda x: x["h"]).alias(partner))
-    links = links.join(hashes, "partner").select(F.col("row").alias(row), partner)
-    out = cut.join(links, row, "left").withColumn("text", _main_text(F.col(own), F.col(partner)))
-    return out.drop(row, own, partner).withColumn("n_chars", F.length("text").cast("bigint"))
+    known = written(keyed.select(F.col(key).alias("row"), host.alias("host"), path.alias("path"), _hashes(F.col(html_col)).alias("lines")), "page-lines")
+    hashes = known.groupBy(F.col("row").alias("partner")).agg(F.first("lines").alias(partner))
+    links = nearest(known.select("row", "host", "path").distinct()).join(hashes, "partner").select(F.col("row").alias(key), partner)
+    out = keyed.withColumn(own, _packed(F.col(html_col))).drop(html_col).join(links, key, "left")
+    return out.withColumn("text", _main_text(F.col(own), F.col(partner))).drop(key, own, partner).withColumn("n_chars", F.length("text").cast("bigint"))
