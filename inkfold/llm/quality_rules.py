@@ -27,6 +27,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 
 
+def _once(value: Column) -> Column:
+    """``value``, which a later filter on what is made of it cannot pull into itself and compute per element."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with word and line counts; words in repeated windows are found without leaving the row.
 
@@ -35,14 +40,14 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     words, lines, seen, runs, places = (f"{OWN}{x}" for x in ("words", "lines", "seen", "runs", "places"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn(words, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    out = docs.withColumn(words, _once(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
     out = out.withColumn(lines, F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
     starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW)).otherwise(F.array().cast("array<int>"))
     window = lambda i: [F.get(words, i + k) for k in range(WINDOW)]  # noqa: E731  a slice would copy the whole array each time
     out = out.withColumn(seen, F.transform(starts, lambda i: F.xxhash64(*window(i))))
     twice = F.size(F.array_distinct(seen)) < F.size(seen)
     pairs = F.transform(seen, lambda h, i: F.struct(h.alias("h"), F.hash(*window(i)).alias("g"), i.alias("at")))
-    out = out.withColumn(runs, F.when(twice, F.array_sort(pairs)).otherwise(F.array().cast("array<struct<h:bigint,g:int,at:int>>")))
+    out = out.withColumn(runs, _once(F.when(twice, F.array_sort(pairs)).otherwise(F.array().cast("array<struct<h:bigint,g:int,at:int>>"))))
 
     def repeated(x: Column, i: Column) -> Column:
         same = lambda y: F.coalesce((y["h"] == x["h"]) & (y["g"] == x["g"]), F.lit(False))
