@@ -18,8 +18,11 @@ NAMES = [f["name"] for f in FIELDS]
 
 
 def _docs(spark, d):
+    """Whole documents between planted fields: the company line in front, the number and the total behind the text."""
     n = F.col("doc_id")
-    text = F.concat(F.substr("text", F.lit(1), F.lit(0)), F.lit("company: Acme"), (n % 9).cast("string"), F.lit(" Ltd\nNo. "), (n % 90).cast("string"), F.lit("-"), (n % 5000).cast("string"), F.lit("\n"), F.when(n % 4 > 0, F.concat(F.lit("total: "), (n % 700).cast("string"), F.lit(".25"))).otherwise(""))
+    company = F.concat(F.lit("company: Acme"), (n % 9).cast("string"), F.lit(" Ltd\n"))
+    rest = F.concat(F.lit("\nNo. "), (n % 90).cast("string"), F.lit("-"), (n % 5000).cast("string"), F.lit("\n"), F.when(n % 4 > 0, F.concat(F.lit("total: "), (n % 700).cast("string"), F.lit(".25"))).otherwise(""))
+    text = F.concat(company, F.coalesce("text", F.lit("")), rest)
     return table(spark, d, "documents").select("doc_id", text.alias("text"), F.when(n % 2 == 0, "eng").otherwise("other").alias("lang"))
 
 
