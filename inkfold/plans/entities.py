@@ -38,8 +38,10 @@ def entity_counts(spark, d):
 
 
 def extract_addresses(spark, d):
-    n = F.col("doc_id")
-    docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_num"), F.lit("jpn").alias("lang"), F.concat(F.substr("text", F.lit(1), F.lit(40)), F.lit("〒123-"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit(" 東京都港区 次"), F.substr("text", F.lit(1), F.lit(40))).alias("text"))
+    """An address planted before each whole text, led in by the first 40 characters of it."""
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    planted = F.concat(F.substr(text, F.lit(1), F.lit(40)), F.lit("〒123-"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit(" 東京都港区 次"), text)
+    docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_num"), F.lit("jpn").alias("lang"), planted.alias("text"))
     return op.filter_entities(op.extract_entities(docs), "addresses").select("doc_id", "value")
 
 

@@ -44,3 +44,12 @@ def test_fields_of_whole_texts(spark, folder):
 def test_requests_hold_whole_texts(spark, folder):
     sizes = {r["doc_id"]: r["chars"] for r in registry.queries()["build_extraction_requests"](spark, folder).collect()}
     assert sizes[1] > 2 * len(FILL) and all(sizes[n] > len(t) for n, t in texts(spark, folder).items())
+
+
+def test_addresses_of_whole_texts(spark, folder):
+    want = set()
+    for n, t in texts(spark, folder).items():
+        s = t[:40] + f"〒123-{n % 10000:04}" + " 東京都港区 次" + t
+        want |= {(n, s[max(m.start() - 30, 0) : m.end() + 30]) for m in re.finditer(r"〒\d{3}-\d{4}|[東西南北]?京都?[府県]", s)}
+    got = {(r["doc_id"], r["value"]) for r in registry.queries()["extract_addresses"](spark, folder).collect()}
+    assert got == want and len(got) == 6
