@@ -9,7 +9,10 @@ The lexicon starts from a fixed list and grows by stems learned from a bounded
 sample of labelled rows (``sample_rows``, chosen by the hash of the id, never
 from the held-out fold).  A stem is learned if it occurs in toxic rows of
 several unlike texts (``min_texts``; copies share their smallest word hash and
-count once) and hardly elsewhere.  Its weight is its log odds.
+count once), in at most a twentieth as many clean rows, and if such counts have a
+chance of at most ``exp(-EVIDENCE)`` for a stem that is as common in clean rows;
+the test is the same for every size of the sample.  One aggregation counts both
+and applies it, so only stems that pass reach the driver.  Its weight is its log odds.
 
 Defined results: null and empty texts have no hit and get the base score;
 repeated rows get equal scores; without labelled rows the fixed list and fixed
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .support import OWN, labelled_sample, written
 
 SAMPLE_ROWS, THRESHOLD = 20_000, 0.5
-MAX_TERMS, COVER = 20_000, 4
+EVIDENCE = math.log(10_000)
 
 # ---- fixed values: lexicon, exceptions, look-alikes -----------------------------
 LEXICON = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
@@ -126,56 +129,38 @@ def _hits_udf(spark, weights: dict[str, float], exceptions: list[str]):
     return hits
 
 
-def _toxic_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, sig) of toxic rows; rows that share their smallest word hash have one sig."""
+def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, sig, clean): a row per stem of a toxic text, and the number of clean texts with a stem; texts that share their smallest word hash have one sig."""
+    kind = pa.schema([("term", pa.string()), ("sig", pa.int64()), ("clean", pa.int64())])
     for batch in batches:
+        n: Counter[str] = Counter()
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if label and text and (words := set(text.split())):
+            if label and (words := set(text.split())):
                 own = list(stems(text))
                 sig = min(xxhash.xxh64_intdigest(w.encode()) for w in words) >> 1
-                yield pa.record_batch({"term": pa.array(own, pa.string()), "sig": pa.array([sig] * len(own), pa.int64())})
-
-
-def _clean_counts(terms: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
-        for batch in batches:
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if not label and text:
-                    n.update(stems(text) & terms)
-        yield pa.record_batch({"term": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+                yield pa.record_batch([pa.array(own, pa.string()), pa.array([sig] * len(own), pa.int64()), pa.array([0] * len(own), pa.int64())], kind)
+            elif not label:
+                n.update(stems(text))
+        yield pa.record_batch([pa.array(list(n), pa.string()), pa.nulls(len(n), pa.int64()), pa.array(list(n.values()), pa.int64())], kind)
 
-    return run
 
+def tested(sample: DataFrame, min_texts: int, share: float) -> DataFrame:
+    """(term, t, n): stems whose toxic texts ``t`` and clean rows ``n`` pass; ``share`` is the toxic share of the rows.
 
-def _toxic_terms(terms: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [sorted(stems(t) & terms) for y, t in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True) if y and t]
-            yield pa.record_batch({"terms": pa.array(own, pa.list_(pa.string()))})
-
-    return run
-
+    The bound on the chance is Chernoff's: the texts times the divergence of t / (t + n) from ``share``.
+    """
+    found = sample.mapInArrow(_stem_counts, "term string, sig bigint, clean bigint")
+    one = found.groupBy("term", "sig").agg(F.sum("clean").alias("clean"))  # copies count once
+    both = one.groupBy("term").agg(F.count("sig").alias("t"), F.sum("clean").alias("n"))
+    t, n = F.col("t"), F.col("n")
+    evidence = t * F.log(t / (t + n) / share) + F.when(n > 0, n * F.log(n / (t + n) / (1 - share))).otherwise(0.0)
+    return both.filter((t >= min_texts) & (20 * n <= t) & (t > share * (t + n)) & (evidence >= EVIDENCE))
 
-def choose(counts: dict[str, tuple[int, int]], docs: list[list[str]], least: int) -> list[str]:
-    """Terms by falling number of toxic texts, while enough rows have fewer than ``COVER`` terms yet.
 
-    Of stems with the same rows the longest comes first and the others find their rows covered.
-    """
-    rows: dict[str, list[int]] = {}
-    for k, own in enumerate(docs):
-        for t in own:
-            rows.setdefault(t, []).append(k)
-    need, taken = [COVER] * len(docs), []
-    starts: list[set[str]] = [set() for _ in docs]
-    for t in sorted(rows, key=lambda t: (-counts[t][0], -len(t), t)):
-        open_rows = [k for k in rows[t] if need[k] > 0 and not any(s.startswith(t) or t.startswith(s) for s in starts[k])]
-        if len(open_rows) >= least:
-            taken.append(t)
-            for k in open_rows:
-                need[k] -= 1
-                starts[k].add(t)
-    return taken
+def longest(counts: dict[str, tuple[int, int]]) -> list[str]:
+    """Terms without those that a longer term with as many toxic texts extends: it stands for the same texts."""
+    same = {(t[:k], counts[t][0]) for t in counts for k in range(4, len(t))}
+    return sorted(t for t in counts if (t, counts[t][0]) not in same)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, min_texts: int = 3, exceptions: list[str] = EXCEPTIONS) -> tuple[dict[str, float], list[float]]:
@@ -189,13 +174,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, mi
     counts: dict[str, tuple[int, int]] = {}
     taken: list[str] = []
     if toxic and clean:
-        some = sample.mapInArrow(_toxic_stems, "term string, sig bigint").groupBy("term").agg(F.count_distinct("sig").alias("t"))
-        some = {r["term"]: r["t"] for r in some.filter(F.col("t") >= min_texts).orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()}
-        else_n = sample.mapInArrow(_clean_counts(frozenset(some)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-        n = {r["term"]: r["n"] for r in else_n}
-        counts = {t: (k, n.get(t, 0)) for t, k in some.items() if 20 * n.get(t, 0) <= k}
-        found = sample.mapInArrow(_toxic_terms(frozenset(counts)), "terms array<string>").collect()
-        taken = choose(counts, [r["terms"] for r in found], max(min_texts, toxic // 500))
+        counts = {r["term"]: (r["t"], r["n"]) for r in tested(sample, min_texts, toxic / (toxic + clean)).collect()}
+        taken = longest(counts)
     seeds = {folded(t) for t in LEXICON}
     weights = {}
     for t in seeds | set(taken):

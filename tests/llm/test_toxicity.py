@@ -49,3 +49,33 @@ def test_messy_rows_and_empty_tables(spark, messy, empty):
     assert out.count() == messy.count() and out.filter("score is null or score < 0 or score > 1").count() == 0
     assert op.drop_toxic(messy, labels).columns == messy.columns
     assert op.score_toxicity(empty, labels).count() == 0 and op.score_toxicity(empty, labels.filter("false")).count() == 0
+
+
+def learned(spark, rows):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    sample = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
+    return set(op.learn(docs, sample)[0]) - set(op.LEXICON)
+
+
+def filler(k):
+    return " ".join(f"wort{(k * 31 + j * 17) % 600}" for j in range(60))
+
+
+def test_rare_stems_beside_common_ones_are_learned(spark):
+    common = "aalfratz bumsnase dorfdepp faulpelz gierhals"
+    rows = [(f"{filler(k)} {common}" + " zwickler" * (k % 5 == 0), 1) for k in range(100)] + [(filler(k), 0) for k in range(300)]
+    assert learned(spark, rows) >= {*common.split(), "zwickler"}
+
+
+def test_common_words_do_not_crowd_out_rare_stems(spark):
+    import xxhash
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = sorted(("".join(letters[k // 26**j % 26] for j in range(3)) + "qwxyzkjhv" for k in range(2600)), key=lambda w: xxhash.xxh64_intdigest(w.encode()))
+    rows = [(" ".join(words[k:]) + " zwickler" * (k < 10), 1) for k in range(16)] + [(" ".join(words) if k < 16 else f"drei{k} sonst", 0) for k in range(300)]
+    assert learned(spark, rows) == {"zwickler"}
+
+
+def test_stems_that_chance_explains_are_not_learned(spark):
+    rows = [(filler(k) + " zufall" * (k < 4), 1) for k in range(100)] + [(filler(k), 0) for k in range(300)]
+    assert learned(spark, rows) == set()
