@@ -4,10 +4,11 @@ The benchmark's word windows are hashed and broadcast; documents are scanned
 window by window, a hash hit is verified on the words themselves, and the hit
 words are then removed, or the document is.
 
-The set is broadcast only while the benchmark holds at most ``broadcast_bytes``
-bytes of text (checked by an aggregate first).  A larger benchmark takes the
-second way: windows of documents and benchmark meet in a shuffled equi-join on
-two independent hashes.
+At most ``broadcast_bytes`` bytes of benchmark text are broadcast at a time
+(checked by an aggregate first).  A larger benchmark is read in slices of that
+size, long items in pieces that overlap by a window less one word; the documents
+are scanned once per slice by the same verified scanner, only rows with hits are
+written, and their spans and items are merged.
 
 Defined results: a null text has no words; an item without words has no window;
 windows of an item whose id is null hit, and the item is listed as an empty id;
@@ -18,9 +19,12 @@ output are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,7 @@ from .bytewords import ALNUM, WordHasher, groups, texts_as_bytes, windows
 from .support import OWN, arrow_column, written
 
 WINDOW = 13
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES, LEAST_PIECE = 4 << 20, 1024
 SPANS = "array<struct<start:int,end:int>>"
 RESULT = f"struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:{SPANS}>"
 RESULT_ARROW = pa.struct([
@@ -110,8 +114,7 @@ def scan_texts(texts: list[bytes], known: WindowSet, hasher: WordHasher) -> list
     return out
 
 
-def _scanner(spark, rows: list[tuple[str, bytes]], size: int):
-    sent = spark.sparkContext.broadcast(rows)
+def _scanner(sent: Broadcast, size: int):
     cache: dict = {}
 
     @F.arrow_udf(RESULT)
@@ -124,18 +127,31 @@ def _scanner(spark, rows: list[tuple[str, bytes]], size: int):
     return scan
 
 
-@arrow_column("array<struct<at:int,length:int,h:bigint,g:bigint>>")
-def _all_windows(text: pa.Array, lengths: pa.Array) -> pa.Array:
-    hasher, out = WordHasher(ALNUM), []
-    for data, sizes in zip(texts_as_bytes(text), lengths.to_pylist(), strict=True):
-        _, _, hashes = hasher.words(data)
-        other = hashes * np.uint64(0xFF51AFD7ED558CCD) ^ (hashes >> np.uint64(31))
-        out.append([
-            {"at": i, "length": n, "h": a, "g": b}
-            for n in sizes
-            for i, (a, b) in enumerate(zip(windows(hashes, n).view(np.int64).tolist(), windows(other, n).view(np.int64).tolist(), strict=True))
-        ])
-    return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])))
+def pieces(data: bytes, size: int, limit: int, hasher: WordHasher) -> Iterator[bytes]:
+    """``data`` in pieces of about ``limit`` bytes that have its windows of ``size`` words between them, and no others."""
+    if len(data) <= limit:
+        yield data
+        return
+    starts, ends, _ = hasher.words(data)
+    at, last = 0, len(starts) - size  # first words of windows
+    while at <= last or not at and len(starts):
+        far = max(at, min(int(np.searchsorted(starts, starts[at] + limit)) - size, last))
+        yield data[starts[at] : ends[min(far + size, len(starts)) - 1]]
+        at = far + 1
+
+
+def _slices(items: DataFrame, size: int, limit: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark's items, long ones in pieces, in lists of at most ``limit`` bytes or of one piece."""
+    hasher, own, held = WordHasher(ALNUM), [], 0
+    for r in items.toLocalIterator():
+        for data in pieces(r["text"].encode(), size, max(limit // 4, LEAST_PIECE), hasher):
+            if own and held + len(data) + 64 > limit:
+                yield own
+                own, held = [], 0
+            own.append((r["item"], data))
+            held += len(data) + 64
+    if own:
+        yield own
 
 
 @arrow_column("bigint")
@@ -153,18 +169,17 @@ def _merged_spans(spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("n_hit", pa.int64()), RESULT_ARROW.field("spans")]))
 
 
-def _by_join(docs: DataFrame, items: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The way without a broadcast: both sides' windows meet in an equi-join."""
-    row, n = f"{OWN}row", f"{OWN}n"
+def _by_slices(docs: DataFrame, items: DataFrame, text_col: str, size: int, limit: int) -> DataFrame:
+    """The way of a large benchmark: one scan of the documents per slice, of which only the hits are written."""
+    row, found = f"{OWN}row", f"{OWN}found"
     docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
-    counted = items.withColumn(n, F.least(_word_count("text"), F.lit(size)).cast("int")).filter(F.col(n) > 0)
-    theirs = counted.select("item", F.explode(_all_windows("text", F.array(n))).alias("w")).select("item", "w.length", "w.h", "w.g").distinct()
-    lengths = F.array(*[F.lit(k) for k in range(1, size + 1)])
-    ours = docs.select(row, F.explode(_all_windows(text_col, lengths)).alias("w")).select(row, "w.*")
-    hits = ours.join(theirs, ["length", "h", "g"]).groupBy(row).agg(
-        F.array_sort(F.collect_set("item")).alias("items"),
-        F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("length")).alias("end"))).alias("spans"),
-    )
+    parts = [docs.sparkSession.createDataFrame([], f"{row} bigint, items array<string>, spans {SPANS}")]  # no item may have a word
+    for rows in _slices(written(items.distinct(), "benchmark"), size, limit):
+        sent = docs.sparkSession.sparkContext.broadcast(rows)
+        scanned = docs.select(row, _scanner(sent, size)(F.col(text_col)).alias(found)).select(row, f"{found}.items", f"{found}.spans")
+        parts.append(written(scanned.filter(F.size("spans") > 0), "decontaminate-slice"))
+        sent.destroy()
+    hits = reduce(DataFrame.union, parts).groupBy(row).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     hits = hits.withColumn("m", _merged_spans("spans")).select(row, "items", "m.n_hit", "m.spans")
     out = docs.join(hits.select(row, F.struct("items", "n_hit", "spans").alias(f"{OWN}h")), row, "left")
     found = F.struct(
@@ -184,8 +199,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, i
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     if size <= broadcast_bytes:
         rows = [(r["item"], r["text"].encode()) for r in items.distinct().collect()]
-        return docs.withColumn(f"{OWN}found", _scanner(docs.sparkSession, rows, window)(F.col(text_col)))
-    return _by_join(docs, items, text_col, window)
+        return docs.withColumn(f"{OWN}found", _scanner(docs.sparkSession.sparkContext.broadcast(rows), window)(F.col(text_col)))
+    return _by_slices(docs, items, text_col, window, broadcast_bytes)
 
 
 def find_contamination(

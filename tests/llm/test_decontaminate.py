@@ -82,3 +82,28 @@ def test_messy_rows_and_empty_tables(spark, messy, empty):
     assert op.find_contamination(empty, bench).count() == 0
     none = op.find_contamination(messy, bench.filter("false"))
     assert none.agg(F.sum("n_hit")).first()[0] == 0
+
+
+@pytest.mark.parametrize("limit", [0, 3000])
+def test_large_benchmarks_are_verified_in_slices(spark, limit):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    long, two = text(2000), "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    other = two.translate(str.maketrans("ab", "ba"))  # another word of the same 64-bit hash
+    items = [(1, long), (2, "the"), (3, two), (4, text(30)), (5, "z" * 5000), (6, "." * 5000)]
+    docs = ["the " * 500, other, two, text(50) + " " + " ".join(long.split()[990:1040]) + " the " + text(50), long, "z" * 5000, "", None]
+    assert found(spark, (docs, items), broadcast_bytes=limit) == brute(docs, items)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 12, 13, 14, 27, 400])
+def test_pieces_have_the_windows_of_the_whole(n):
+    data = " -- ".join(f"w{k * 7}" for k in range(n)).encode() + b"." * 200
+    hasher = bytewords.WordHasher()
+    whole = [w[:3] for w in op.item_windows("i", data, hasher, 13)]
+    cut = [w[:3] for x in op.pieces(data, 13, 120, hasher) for w in op.item_windows("i", x, hasher, 13)]
+    assert cut == whole
+
+
+def test_a_large_benchmark_without_words_hits_nothing(spark):
+    case = ["a b", None], [(1, "." * 2000), (2, "")]
+    assert found(spark, case, broadcast_bytes=0) == brute(*case)
