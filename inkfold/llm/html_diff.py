@@ -9,7 +9,9 @@ each page is paired with the neighbour whose path shares the longer beginning.
 The lines of both, compared by their hashes, are aligned by their longest common
 subsequence, and shared lines are deleted where the markup does not place them
 inside an article: the frame of a site repeats on its pages, while an article
-that two pages share (a copy under a second address) is still main text.
+that two pages share (a copy under a second address) is still main text.  Lines
+outside of articles are frame only if the articles hold at least as much text as
+those of them that the neighbour does not share.
 
 Defined results: a null or empty page has no text; a page alone on its host, or
 one that repeats its neighbour's whole frame and has no article, keeps what the
@@ -35,7 +37,11 @@ from .support import OWN, arrow_column, written
 
 # ---- fixed values: elements and names that are never main text ---------------------------
 SKIPPED = ["nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "label", "fieldset", "figcaption"]
-RAW = ["script", "style", "noscript", "template", "svg", "title", "textarea", "iframe", "math", "object"]
+RAW = ["script", "style", "noscript", "template", "svg", "title", "textarea", "iframe", "object", "annotation", "annotation-xml"]
+#: Elements that end where they begin if written so; in HTML itself the sign means nothing.
+FOREIGN = ["svg", "math", "annotation", "annotation-xml"]
+#: Main text where they stand inside an article.
+CAPTIONS = ["figcaption", "label"]
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 BLOCKS = [
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figure", "h1", "h2", "h3",
@@ -105,6 +111,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
         closing = bool(found[1])
         if tag in BLOCK_SET:
             flush()
+        if tag in FOREIGN and not closing and found[3].rstrip().endswith("/"):
+            continue
         if tag in RAW_SET and not closing:
             end = re.compile(rf"(?i)</{re.escape(tag)}\s*(?:>|\Z)").search(page, at)
             at = end.end() if end else len(page)
@@ -131,7 +139,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
                     del stack[cut:]
             inherited = place()
             # the header of an article belongs to it
-            own = SKIP if inherited == SKIP or _unwanted(tag, found[3]) and not (tag == "header" and inherited == ARTICLE) else ARTICLE if tag in ("article", "main") or inherited == ARTICLE else OUTSIDE
+            judged = "span" if tag in CAPTIONS and inherited == ARTICLE else tag
+            own = SKIP if inherited == SKIP or _unwanted(judged, found[3]) and not (tag == "header" and inherited == ARTICLE) else ARTICLE if tag in ("article", "main") or inherited == ARTICLE else OUTSIDE
             if own != inherited:
                 flush()
             if not found[3].rstrip().endswith("/"):
@@ -183,12 +192,17 @@ def line_hash(text: str) -> int:
 def main_text(own: list[tuple[int, int, str | None]], partner: list[int] | None) -> str:
     """Blocks of (hash, place, text) that neither the markup nor the partner's lines take away.
 
-    Lines inside an article are main text even if the partner has them.  Where a
-    page has an article, lines outside of it are frame.
+    Lines inside an article are main text even if the partner has them.  Where
+    articles hold most of the text that the partner does not share, lines outside
+    of them are frame; else articles are teasers beside the main text and
+    differencing decides on the other lines.
     """
     drop = shared([h for h, _, _ in own], partner) if partner else set()
     article = any(place == ARTICLE for _, place, _ in own)
-    kept = [t for k, (_, place, t) in enumerate(own) if place == ARTICLE or place == OUTSIDE and not article and k not in drop]
+    inside = sum(len(t) for _, place, t in own if place == ARTICLE)
+    outside = sum(len(t) for k, (_, place, t) in enumerate(own) if place == OUTSIDE and k not in drop)
+    main = article and inside >= outside
+    kept = [t for k, (_, place, t) in enumerate(own) if place == ARTICLE or place == OUTSIDE and not main and k not in drop]
     if not kept and not article:  # a copy of its partner: nothing tells frame and text apart
         kept = [t for _, place, t in own if place == OUTSIDE]
     return "\n\n".join(kept)

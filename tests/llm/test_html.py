@@ -85,3 +85,24 @@ def test_messy_rows_and_empty_tables(spark):
     out = op.extract(pages)
     assert out.count() == 6 and out.filter("text is null").count() == 0 and {r["n_chars"] for r in out.collect()} == {0, 1, 999_999}
     assert op.extract(pages.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>a</p><figure><img><figcaption>A caption</figcaption></figure><label>b</label></article>", "a\n\nA caption\n\nb"),
+        ("<article><p>a</p><figure><figcaption class=ad>x</figcaption></figure><form><label>y</label></form></article>", "a"),
+        ("<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b</p></article>", "a x=2 b"),
+        ("<article><p>a<svg width='1'/> b</p><p>c<math/> d</p></article>", "a b\n\nc d"),
+        ("<div><p>The long main text of this page stands here.</p></div><article class=card><p>Teaser</p></article>", "The long main text of this page stands here.\n\nTeaser"),
+    ],
+)
+def test_text_that_markup_alone_dropped(page, want):
+    assert op.main_text(op.lines(page), None) == want
+
+
+def test_main_text_beside_teasers_is_left_by_the_neighbour(spark):
+    page = lambda k: f"<div>Menu of the site</div><div>Main text {k} of this page, long enough to outweigh it</div><article class=card>Teaser</article><div>Imprint and contact</div>"
+    rows = [(k, f"https://h.org/a/{k}", page(k)) for k in range(3)]
+    out = {r["page_id"]: r["text"] for r in op.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert out == {k: f"Main text {k} of this page, long enough to outweigh it\n\nTeaser" for k in range(3)}
