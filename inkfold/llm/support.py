@@ -51,6 +51,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files that ``written`` made for ``df``; nothing may read it any more."""
+    spark = df.sparkSession
+    own = f"/inkfold-{spark.sparkContext.applicationId}/"
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        if own in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learned from; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
