@@ -12,14 +12,18 @@ at once may both store a digest, with the same count, and readers take one.
 
 Normalised content: null is empty.  Where the tokenizer itself turns white space
 into one space and drops it (read from its file), runs of ASCII white space are
-one space and those at the ends go; else the text stays as it is.  Such texts are
-also encoded in pieces of ``PIECE`` characters cut at white space, so that memory
-does not follow the longest text; other texts are encoded whole.
+one space and those at the ends go; else the text stays as it is.  The tokens of
+such a text are those of its words, so a worker encodes a word once and keeps its
+count (up to ``WORDS`` short words, then it starts anew), and goes through a text in
+pieces of ``PIECE`` characters: memory does not follow the longest text.  Other texts
+are encoded whole.
 
 What is bounded: the tokenizer file is broadcast (``MAX_FILE`` bytes, checked).
 Missing digests are broadcast up to ``BROADCAST_KEYS`` to keep known texts out of
 the shuffle; beyond that they are joined.  A hot text is reduced to one row per
-partition before the shuffle.
+partition before it is shuffled.  Counts of texts with at least a ``HOT_SHARE``-th of
+all rows (no more than ``HOT_SHARE`` texts can have that) are broadcast, so no task
+gets all copies of one text.
 
 Defined results: null and empty texts have no bytes and no tokens; repeated rows
 each get the count; an empty table gives an empty result and stores nothing.
@@ -31,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -42,7 +47,9 @@ from pyspark.sql import functions as F
 from .support import OWN, written
 
 LIMIT, PIECE, GROUP_CHARS = 2048, 1 << 16, 1 << 18
+WORDS, WORD_CHARS = 1 << 16, 64
 MAX_FILE, BROADCAST_KEYS = 32 << 20, 100_000
+HOT_SHARE, HOT_ROWS = 10_000, 1000
 CACHE_SCHEMA = "content binary, n_tokens bigint"
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -120,30 +127,56 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def _encoder(sent, schema: pa.Schema):
+class WordCounts:
+    """Tokens of texts whose words the tokenizer treats apart, with the counts of short words kept."""
+
+    def __init__(self, count):
+        self.count, self.known = count, {}
+
+    def __call__(self, text: str) -> int:
+        total = 0
+        for piece in pieces(text):
+            words = piece.split(" ")
+            fresh = {w for w in words if w not in self.known}
+            long = [w for w in words if len(w) > WORD_CHARS]
+            fresh.difference_update(long)
+            if len(self.known) + len(fresh) > WORDS:
+                self.known.clear()
+                fresh = {w for w in words if len(w) <= WORD_CHARS}
+            if fresh:
+                fresh = list(fresh)
+                self.known.update(zip(fresh, self.count(fresh), strict=True))
+            if long:
+                total += sum(self.count(long))
+                words = [w for w in words if len(w) <= WORD_CHARS]
+            total += sum(map(self.known.__getitem__, words))
+        return total
+
+
+def _whole_texts(texts: list[str], count) -> Iterator[int]:
+    at = 0
+    while at < len(texts):
+        upto, held = at + 1, len(texts[at])
+        while upto < len(texts) and held + len(texts[upto]) <= GROUP_CHARS:
+            held += len(texts[upto])
+            upto += 1
+        yield from count(texts[at:upto])
+        at = upto
+
+
+def _encoder(sent):
     cache: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tokenizer = sent.value
-        count = cache.setdefault("own", None) or cache.update(own=tokenizer.counter()) or cache["own"]
+        if not cache:
+            count = tokenizer.counter()
+            cache["own"] = WordCounts(count) if tokenizer.drops_white else count
         for batch in batches:
-            totals = [0] * batch.num_rows
-            rows, texts, held = [], [], 0
-            for row, text in enumerate(batch.column("text")):
-                for piece in pieces(text.as_py()) if tokenizer.drops_white else [text.as_py()]:
-                    rows.append(row)
-                    texts.append(piece)
-                    held += len(piece)
-                    if held >= GROUP_CHARS:
-                        for k, n in zip(rows, count(texts), strict=True):
-                            totals[k] += n
-                        rows, texts, held = [], [], 0
-            for k, n in zip(rows, count(texts) if texts else [], strict=True):
-                totals[k] += n
-            yield pa.record_batch([batch.column("content").cast(pa.binary()), pa.array(totals, pa.int64())], schema)
+            texts = batch.column("text").to_pylist()
+            totals = list(map(cache["own"], texts)) if tokenizer.drops_white else list(_whole_texts(texts, cache["own"]))
+            yield pa.record_batch([batch.column("content"), pa.array(totals, pa.int64()), batch.column("copies")], ["content", "n_tokens", "copies"])
 
     return run
 
@@ -158,36 +191,54 @@ def stored(spark: SparkSession, cache: str, tokenizer: TokenizerFile) -> DataFra
 
 
 def encode(texts: DataFrame, tokenizer: TokenizerFile) -> DataFrame:
-    """``content, n_tokens`` of rows of ``content, text``."""
+    """``content, n_tokens, copies`` of rows of ``content, text, copies``."""
     sent = texts.sparkSession.sparkContext.broadcast(tokenizer)
-    return texts.mapInArrow(_encoder(sent, pa.schema([("content", pa.binary()), ("n_tokens", pa.int64())])), CACHE_SCHEMA)
+    return texts.mapInArrow(_encoder(sent), f"{CACHE_SCHEMA}, copies bigint")
 
 
-def fill_cache(docs: DataFrame, tokenizer: TokenizerFile, cache: str, text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> int:
-    """Encode what the cache lacks and append it; returns how many texts were encoded."""
+def _filled(docs: DataFrame, tokenizer: TokenizerFile, cache: str, text_col: str, broadcast_keys: int) -> tuple[int, DataFrame]:
+    """The number of texts encoded, and ``content, copies`` of the documents."""
     spark = docs.sparkSession
     text = normalised(F.col(text_col), tokenizer)
-    keyed = docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("content"), text.alias("text"))
+    keyed = docs.select(_digest(text).alias("content"), text.alias("text"))
     known = stored(spark, cache, tokenizer)
-    one = lambda rows: rows.groupBy("content").agg(F.first("text").alias("text"))
+    one = lambda rows: rows.groupBy("content").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    copies = None
     if known.isEmpty():
         todo = one(keyed)
     else:
-        missing = written(keyed.select("content").distinct().join(known, "content", "left_anti"), "missing-digests")
+        copies = written(keyed.groupBy("content").agg(F.count("*").alias("copies")), "content-digests")
+        missing = written(copies.join(known, "content", "left_anti").select("content"), "missing-digests")
         n = missing.count()
         if not n:
-            return 0
+            return 0, copies
         todo = one(keyed.join(F.broadcast(missing), "content", "left_semi")) if n <= broadcast_keys else one(keyed).join(missing, "content", "left_semi")
     fresh = written(encode(todo, tokenizer), "fresh-counts")  # a repeated task of the append would otherwise encode again
-    fresh.write.mode("append").parquet(f"{cache}/tokenizer={tokenizer.digest}")
-    return fresh.count()
+    fresh.select("content", "n_tokens").write.mode("append").parquet(f"{cache}/tokenizer={tokenizer.digest}")
+    return fresh.count(), fresh.select("content", "copies") if copies is None else copies
+
+
+def fill_cache(docs: DataFrame, tokenizer: TokenizerFile, cache: str, text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> int:
+    """Encode what the cache lacks and append it; returns how many texts were encoded."""
+    return _filled(docs, tokenizer, cache, text_col, broadcast_keys)[0]
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def count_tokens(docs: DataFrame, tokenizer: TokenizerFile, cache: str, text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: TokenizerFile, cache: str, text_col: str = "text", limit: int = LIMIT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``docs`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``; ``cache`` is a folder that all executors share."""
-    fill_cache(docs, tokenizer, cache, text_col)
-    key = f"{OWN}content"
-    counts = stored(docs.sparkSession, cache, tokenizer).select(F.col("content").alias(key), F.col("n_tokens").alias(f"{OWN}n"))
-    out = docs.withColumn(key, F.unhex(F.sha2(normalised(F.col(text_col), tokenizer).cast("binary"), 256))).join(counts, key)
-    out = out.withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")).withColumn("n_tokens", F.col(f"{OWN}n"))
-    return out.withColumn("over_limit", F.col("n_tokens") > limit).drop(key, f"{OWN}n")
+    _, copies = _filled(docs, tokenizer, cache, text_col, BROADCAST_KEYS)
+    key, n, hot_n, size = (f"{OWN}{x}" for x in ("content", "n", "hot", "bytes"))
+    counts = stored(docs.sparkSession, cache, tokenizer)
+    total = copies.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = written(counts.join(F.broadcast(copies.filter(F.col("copies") >= max(hot_rows, -(-total // HOT_SHARE))).select("content")), "content", "left_semi"), "hot-counts")
+    out = docs.withColumn(key, _digest(normalised(F.col(text_col), tokenizer))).withColumn(size, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint"))
+    out = out.join(F.broadcast(hot.select(F.col("content").alias(key), F.col("n_tokens").alias(hot_n))), key, "left")
+    # rows that have their count already are spread over tasks by a key that nothing matches
+    spread = F.concat(F.col(key), F.pmod(F.monotonically_increasing_id(), F.lit(997)).cast("string").cast("binary"))
+    out = out.withColumn(key, F.when(F.col(hot_n).isNull(), F.col(key)).otherwise(spread))
+    out = out.join(counts.select(F.col("content").alias(key), F.col("n_tokens").alias(n)), key, "left")
+    out = out.withColumn("n_bytes", F.col(size)).withColumn("n_tokens", F.coalesce(hot_n, n))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit).drop(key, n, hot_n, size)

@@ -9,7 +9,7 @@ from inkfold.llm import queries, token_counts
 from inkfold.llm.token_counts import TokenizerFile, count_tokens, fill_cache
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", "  \n ", "Hello World", "hello\t\n world ", "a <|endoftext|> b", "a <|ENDOFTEXT|> b", "<|startoftext|><|endoftext|>", "it's we'll 12345 ́e ́", "é É ﬁ Σας ΣΑΣ", "漢字　かな 😀👍🏽", "x" * 3000, "\x1c\x1d  a\x85b", "\u0000nul"]
+ODD = ["", "  \n ", "Hello World", "hello\t\n world ", "a <|endoftext|> b", "a <|ENDOFTEXT|> b", "<|startoftext|><|endoftext|>", "it's we'll 12345 ́e ́", "é É ﬁ Σας ΣΑΣ", "漢字　かな 😀👍🏽", "x" * 3000, "\x1c\x1d  a\x85b", "\u0000nul", "a\x0bb\x0cc\rd"]
 
 
 @pytest.fixture
@@ -80,6 +80,19 @@ def test_odd_rows_and_empty_tables(spark, messy, empty, cache):
     assert count_tokens(empty, own, f"{cache}-{uuid.uuid4().hex}").count() == 0
 
 
+def test_words_leave_the_worker_store_and_come_back(monkeypatch):
+    monkeypatch.setattr(token_counts, "WORDS", 40)
+    own = token_counts.WordCounts(TokenizerFile.load(PATH).counter())
+    texts = [" ".join(f"w{k * j % 61}x" + "y" * (k % 80) for k in range(90)) for j in range(1, 9)] + ["", "a"]
+    assert list(map(own, texts)) == whole(texts) and len(own.known) <= 90
+
+
+def test_hot_texts_take_the_other_way(spark, cache):
+    df = spark.createDataFrame([(k, "the same text" if k % 3 else f"text {k}") for k in range(300)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(df, TokenizerFile.load(PATH), cache, hot_rows=50).collect()}
+    assert got == dict(enumerate(whole([r["text"] for r in df.collect()])))
+
+
 def test_files_are_checked(tmp_path):
     odd = tmp_path / "a.bin"
     odd.write_bytes(b"x")
