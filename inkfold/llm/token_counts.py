@@ -13,8 +13,8 @@ at once may both store a digest, with the same count, and readers take one.
 Normalised content: null is empty.  Where the tokenizer itself turns white space
 into one space and drops it (read from its file), runs of ASCII white space are
 one space and those at the ends go; else the text stays as it is.  The tokens of
-such a text are those of its words, so a worker encodes a word once and keeps its
-count (up to ``WORDS`` short words, then it starts anew), and goes through a text in
+such a text are those of its words, so a worker keeps the counts of repeated short
+words (two times ``WORDS`` at most), encodes the others, and goes through a text in
 pieces of ``PIECE`` characters: memory does not follow the longest text.  Other texts
 are encoded whole.
 
@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from .support import OWN, written
 
 LIMIT, PIECE, GROUP_CHARS = 2048, 1 << 16, 1 << 18
-WORDS, WORD_CHARS = 1 << 16, 64
+WORDS, WORD_CHARS = 1 << 17, 64
 MAX_FILE, BROADCAST_KEYS = 32 << 20, 100_000
 HOT_SHARE, HOT_ROWS = 10_000, 1000
 CACHE_SCHEMA = "content binary, n_tokens bigint"
@@ -90,7 +91,7 @@ class TokenizerFile:
             own = Tokenizer.from_buffer(self.data)
             own.no_truncation()
             own.no_padding()
-            return lambda texts: [len(x.ids) for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+            return lambda texts: [len(x) for x in own.encode_batch_fast(texts, add_special_tokens=False)]
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_proto=self.data)
@@ -128,29 +129,47 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 
 class WordCounts:
-    """Tokens of texts whose words the tokenizer treats apart, with the counts of short words kept."""
+    """Tokens of texts whose words the tokenizer treats apart.
+
+    Counts of words that come twice in a group of texts are kept, in two generations:
+    a full one becomes the old one, from which words come back when they are met
+    again.  The other words of a text are encoded together.
+    """
 
     def __init__(self, count):
-        self.count, self.known = count, {}
-
-    def __call__(self, text: str) -> int:
-        total = 0
-        for piece in pieces(text):
-            words = piece.split(" ")
-            fresh = {w for w in words if w not in self.known}
-            long = [w for w in words if len(w) > WORD_CHARS]
-            fresh.difference_update(long)
-            if len(self.known) + len(fresh) > WORDS:
-                self.known.clear()
-                fresh = {w for w in words if len(w) <= WORD_CHARS}
-            if fresh:
-                fresh = list(fresh)
-                self.known.update(zip(fresh, self.count(fresh), strict=True))
-            if long:
-                total += sum(self.count(long))
-                words = [w for w in words if len(w) <= WORD_CHARS]
-            total += sum(map(self.known.__getitem__, words))
-        return total
+        self.count, self.known, self.old = count, {}, {}
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) > WORDS:
+            self.known, self.old = {}, self.known
+        unmet = Counter(w for w in words if w not in self.known)
+        self.known |= {w: self.old[w] for w in unmet if w in self.old}
+        if fresh := [w for w, n in unmet.items() if n > 1 and len(w) <= WORD_CHARS and w not in self.known]:
+            self.known.update(zip(fresh, self.count(fresh), strict=True))
+
+    def group(self, parts: list[str]) -> Iterator[int]:
+        """Tokens of each of some short texts."""
+        cut = [x.split(" ") for x in parts]
+        self._learn([w for words in cut for w in words])
+        seldom = self.count([" ".join([w for w in words if w not in self.known]) for words in cut])
+        for words, n in zip(cut, seldom, strict=True):
+            yield n + sum([self.known.get(w, 0) for w in words])
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        totals = [0] * len(texts)
+        rows, parts, held = [], [], 0
+        for row, text in enumerate(texts):
+            for piece in pieces(text):
+                rows.append(row)
+                parts.append(piece)
+                held += len(piece)
+                if held >= GROUP_CHARS:
+                    for k, n in zip(rows, self.group(parts), strict=True):
+                        totals[k] += n
+                    rows, parts, held = [], [], 0
+        for k, n in zip(rows, self.group(parts), strict=True):
+            totals[k] += n
+        return totals
 
 
 def _whole_texts(texts: list[str], count) -> Iterator[int]:
@@ -175,7 +194,7 @@ def _encoder(sent):
             cache["own"] = WordCounts(count) if tokenizer.drops_white else count
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            totals = list(map(cache["own"], texts)) if tokenizer.drops_white else list(_whole_texts(texts, cache["own"]))
+            totals = cache["own"](texts) if tokenizer.drops_white else list(_whole_texts(texts, cache["own"]))
             yield pa.record_batch([batch.column("content"), pa.array(totals, pa.int64()), batch.column("copies")], ["content", "n_tokens", "copies"])
 
     return run
