@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,23 @@ def test_messy_rows_and_empty_tables(messy, empty):
     assert out.count() == messy.count() and out.filter("n_words is null or kept is null").count() == 0
     assert out.filter("text is null and not base_failed").count() == 0
     assert op.judge(empty).count() == 0
+
+
+def test_filters_on_features_stay_linear(spark, tmp_path):
+    def seconds(n):
+        path = str(tmp_path / str(n))
+        spark.createDataFrame([(1, " ".join("".join(chr(97 + k // 26**j % 26) for j in range(5)) for k in range(n)))], "doc_id int, text string").write.parquet(path)
+        began = time.perf_counter()
+        rows = op.judge(spark.read.parquet(path)).filter("kept and n_words > 5").collect()
+        assert len(rows) == 1
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(120_000) < 30
+
+
+def test_kept_rows_of_given_tables(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    out = op.judge(docs)
+    kept = {r["doc_id"] for r in out.collect() if r["kept"]}
+    assert {r["doc_id"] for r in out.filter("kept").select("doc_id").collect()} == kept and kept
