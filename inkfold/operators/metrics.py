@@ -1,9 +1,10 @@
 """Metrics and alerts over (name, tag, ts, value) points, in batch.
 
-A metric name may hold most of the points, so running values never put a whole
-name into one task: points are cut into time buckets, sums (or last values) per
-bucket are carried on over the few buckets, and only inside a bucket are points
-put in order.
+A metric name, or a rule, may hold most of the rows, so running values never put
+a whole name into one task: points are cut into pieces contiguous in time (see
+``ranges``), sums or last values per piece are carried on over the pieces, and
+only inside a piece are points put in order.  A burst inside one hour is cut by
+ranges of points instead of by time.
 """
 
 from __future__ import annotations
@@ -15,33 +16,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..stored import settled
+from .ranges import PIECE_ROWS, carried, next_after, pieces, with_carried
 
 KEY = ["name", "tag"]
-BUCKET_SECONDS = 3600
+ORDER = ["ts", "event_id"]
 
 
-def bucketed(points: DataFrame, seconds: int = BUCKET_SECONDS) -> DataFrame:
-    return points.withColumn("bucket", F.floor(F.unix_timestamp("ts") / seconds))
-
-
-def _carry(sums: DataFrame, key: list[str], columns: dict[str, Column]) -> DataFrame:
-    """Aggregates of all earlier buckets, per bucket; one row per key and bucket is sorted."""
-    before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(*key, "bucket", *[c.over(before).alias(n) for n, c in columns.items()])
-
-
-def counter(points: DataFrame) -> DataFrame:
+def counter(points: DataFrame, limit: int = PIECE_ROWS) -> DataFrame:
     """Points with ``total``: the running sum per metric and tag."""
-    cut = bucketed(points)
-    sums = cut.groupBy(*KEY, "bucket").agg(F.sum("value").alias("s"))
-    offset = _carry(sums, KEY, {"offset": F.sum("s")})
+    cut = pieces(points, KEY, ORDER, limit=limit)
+    offset = carried(cut, KEY, {"s": F.sum("value")}, {"offset": F.sum("s")})
     inside = F.sum("value").over(Window.partitionBy(*KEY, "bucket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("inside", inside).join(offset, [*KEY, "bucket"]).withColumn("total", F.coalesce("offset", F.lit(0.0)) + F.col("inside")).drop("inside", "offset", "bucket")
+    return with_carried(cut.withColumn("inside", inside), offset, KEY).withColumn("total", F.coalesce("offset", F.lit(0.0)) + F.col("inside")).drop("inside", "offset", "bucket")
 
 
-def gauge(ops: DataFrame) -> DataFrame:
+def gauge(ops: DataFrame, limit: int = PIECE_ROWS) -> DataFrame:
     """Operations (set, inc, dec) with ``level`` after each; the last set of earlier buckets carries over."""
-    cut = bucketed(ops).withColumn("delta", F.when(F.col("op") == "inc", F.col("value")).when(F.col("op") == "dec", -F.col("value")).otherwise(0.0))
+    cut = pieces(ops, KEY, ORDER, limit=limit).withColumn("delta", F.when(F.col("op") == "inc", F.col("value")).when(F.col("op") == "dec", -F.col("value")).otherwise(0.0))
     cut = cut.withColumn("base", F.when(F.col("op") == "set", F.col("value")))
     order = Window.partitionBy(*KEY, "bucket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     cut = cut.withColumn("segment", F.count("base").over(order))
@@ -56,21 +48,21 @@ def gauge(ops: DataFrame) -> DataFrame:
     ends = runs.withColumn("level", F.coalesce(F.first("start", ignorenulls=True).over(along), F.lit(0.0)) + F.sum("since").over(along))
     offset = ends.select(*KEY, "bucket", F.lag("level").over(Window.partitionBy(*KEY).orderBy("bucket")).alias("offset"))
     level = F.when(F.col("segment") > 0, F.col("start") + F.col("since")).otherwise(F.coalesce("offset", F.lit(0.0)) + F.col("since"))
-    return cut.join(offset, [*KEY, "bucket"]).withColumn("level", level).drop("bucket", "delta", "base", "segment", "since", "start", "offset")
+    return with_carried(cut, offset, KEY).withColumn("level", level).drop("bucket", "delta", "base", "segment", "since", "start", "offset")
 
 
 def histogram(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.count("value").alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("sum"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("avg"), F.coalesce(F.min("value"), F.lit(0.0)).alias("min"), F.coalesce(F.max("value"), F.lit(0.0)).alias("max"))
 
 
-def histogram_points(points: DataFrame) -> DataFrame:
+def histogram_points(points: DataFrame, limit: int = PIECE_ROWS) -> DataFrame:
     """Five points per update (count, sum, avg, min, max so far), named by ``type``."""
-    cut = bucketed(points)
-    sums = cut.groupBy(*KEY, "bucket").agg(F.count("*").alias("c"), F.sum("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    offset = _carry(sums, KEY, {"c0": F.sum("c"), "s0": F.sum("s"), "lo0": F.min("lo"), "hi0": F.max("hi")})
+    cut = pieces(points, KEY, ORDER, limit=limit)
+    sums = {"c": F.count("*"), "s": F.sum("value"), "lo": F.min("value"), "hi": F.max("value")}
+    offset = carried(cut, KEY, sums, {"c0": F.sum("c"), "s0": F.sum("s"), "lo0": F.min("lo"), "hi0": F.max("hi")})
     order = Window.partitionBy(*KEY, "bucket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     cut = cut.select("*", F.count("*").over(order).alias("c1"), F.sum("value").over(order).alias("s1"), F.min("value").over(order).alias("lo1"), F.max("value").over(order).alias("hi1"))
-    both = cut.join(offset, [*KEY, "bucket"])
+    both = with_carried(cut, offset, KEY)
     n, s = F.coalesce("c0", F.lit(0)) + F.col("c1"), F.coalesce("s0", F.lit(0.0)) + F.col("s1")
     kinds = {"count": n.cast("double"), "sum": s, "avg": s / n, "min": F.least("lo0", "lo1"), "max": F.greatest("hi0", "hi1")}
     rows = F.array(*[F.struct(F.lit(k).alias("type"), v.alias("point")) for k, v in kinds.items()])
@@ -107,9 +99,9 @@ def meter(points: DataFrame, tick: int = fixed.METER_TICK_SECONDS, interval_rate
     span = seen.groupBy("name").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     grid = span.select("name", "t0", F.explode(F.sequence("t0", "t1")).alias("t")).join(seen, ["name", "t"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     grid = grid.withColumn("k", F.col("t") - F.col("t0") + 1).withColumn("bucket", F.floor((F.col("k") - 1) / 256))
-    offset = _carry(grid.groupBy("name", "bucket").agg(F.sum("v").alias("s")), ["name"], {"before": F.sum("s")})
+    offset = carried(grid, ["name"], {"s": F.sum("v")}, {"before": F.sum("s")})
     within = Window.partitionBy("name", "bucket").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    out = grid.join(offset, ["name", "bucket"]).withColumn("count", F.coalesce("before", F.lit(0.0)) + F.sum("v").over(within))
+    out = with_carried(grid, offset, ["name"]).withColumn("count", F.coalesce("before", F.lit(0.0)) + F.sum("v").over(within))
     out = out.withColumn("mean_rate", F.col("count") / (F.col("k") * tick))
     out = out.withColumn("x", F.col("v") / tick if interval_rate else F.col("mean_rate"))
     out = out.join(out.filter("x != 0").groupBy("name").agg(F.min("k").alias("k1")), "name", "left").select("name", "t", "k", "k1", "count", "mean_rate", "x")
@@ -161,56 +153,105 @@ def predicate_alerts(points: DataFrame, rules: dict[str, tuple[Column, str]]) ->
     return points.select("event_id", "ts", "name", "value", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
-def change_alerts(points: DataFrame, limit: float, percent: bool = True) -> DataFrame:
+def change_alerts(points: DataFrame, limit: float, percent: bool = True, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Points whose change from the name's previous value reaches ``limit``; the first value is silent.
 
     The previous value is looked up inside the time bucket, and for a bucket's first
     point from the last point of the bucket before it that has any.
     """
-    cut = bucketed(points)
-    last = cut.groupBy("name", "bucket").agg(F.max_by("value", F.struct("ts", "event_id")).alias("end"))
-    before = last.select("name", "bucket", F.lag("end").over(Window.partitionBy("name").orderBy("bucket")).alias("end"))
+    cut = pieces(points, ["name"], ORDER, limit=piece_rows)
+    before = carried(cut, ["name"], {"last": F.max_by(F.struct("value"), F.struct(*ORDER))}, {"last": F.last("last")}).select("name", "bucket", F.col("last.value").alias("end"))
     inside = F.lag("value").over(Window.partitionBy("name", "bucket").orderBy("ts", "event_id"))
-    out = cut.withColumn("_in", inside).join(before, ["name", "bucket"]).withColumn("previous", F.coalesce("_in", "end"))
+    out = with_carried(cut.withColumn("_in", inside), before, ["name"]).withColumn("previous", F.coalesce("_in", "end"))
     v, p = F.col("value"), F.col("previous")
     change = F.when(p == 0, F.when(v > 0, F.lit(float("inf"))).otherwise(0.0)).otherwise((v - p) / F.abs(p) * 100) if percent else v - p
     return out.withColumn("change", change).filter(F.abs("change") >= limit).select("event_id", "ts", "name", "value", "previous", "change")
 
 
-def cooldown(alerts: DataFrame, seconds: float = fixed.COOLDOWN_SECONDS) -> DataFrame:
-    """Alerts that fire: per rule only later than ``seconds`` after the last that fired.
+def cooldown(alerts: DataFrame, seconds: float = fixed.COOLDOWN_SECONDS, walk_rows: int = PIECE_ROWS) -> DataFrame:
+    """Alerts that fire: per rule only later than ``seconds`` after the last that fired; rows equal in rule, time and id count once.
 
-    An alert further than the cooldown from the one before it always fires, so each
-    such stretch stands alone and is walked by itself.  A rule that never pauses is
-    one stretch; its rows then stream through one task in order, with one number kept.
+    Rules of up to ``walk_rows`` alerts are walked in order, one number kept.  Larger
+    ones go through ``firing_chain``, which no task holds whole.
     """
-    t = F.unix_micros("ts") / 1e6
-    order = Window.partitionBy("rule").orderBy("ts", "event_id")
-    cut = alerts.withColumn("_t", t).withColumn("_new", F.coalesce(F.col("_t") - F.lag("_t").over(order) > seconds, F.lit(True)).cast("int"))
-    cut = cut.withColumn("_stretch", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = alerts.groupBy("rule").agg(F.count("*").alias("n"))
+    large = [r["rule"] for r in sizes.filter(F.col("n") > walk_rows).collect()]  # as many as fit the rows
+    is_large = F.coalesce(F.col("rule").isin(large), F.lit(False)) if large else F.lit(False)
+    walked = _walked(alerts.filter(~is_large), seconds)
+    return walked.union(firing_chain(alerts.filter(is_large), seconds).select(*alerts.columns)) if large else walked
+
+
+def _walked(alerts: DataFrame, seconds: float) -> DataFrame:
     names = alerts.columns
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stretch, fired = None, 0.0
+        current, fired = None, 0.0
         for batch in batches:
             keep = []
-            for rule, part, at in zip(batch["rule"], batch["_stretch"], batch["_t"], strict=True):
-                fires = (rule, part) != stretch or at - fired > seconds
+            for rule, at in zip(batch["rule"], batch["_t"], strict=True):
+                fires = current != (rule,) or at - fired > seconds * 1e6
                 if fires:
-                    stretch, fired = (rule, part), at
+                    current, fired = (rule,), at
                 keep.append(fires)
             yield batch[keep][names]
 
-    dealt = cut.repartition("rule", "_stretch").sortWithinPartitions("rule", "_stretch", "_t", "event_id")
+    dealt = alerts.withColumn("_t", F.unix_micros("ts")).repartition("rule").sortWithinPartitions("rule", "_t", "event_id")
     return dealt.mapInPandas(walk, alerts.schema)
 
 
-def lifecycle(alerts: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Open alerts with the time of the next resolution of the same rule, null if none follows."""
-    both = alerts.select("rule", "ts", "event_id", F.lit(0).alias("r")).union(resolutions.select("rule", "ts", "event_id", F.lit(1).alias("r")))
-    after = Window.partitionBy("rule").orderBy("ts", "r", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    resolved = F.min(F.when(F.col("r") == 1, F.col("ts"))).over(after)
-    return both.withColumn("resolved_ts", resolved).filter("r = 0").select("rule", "event_id", "ts", "resolved_ts", F.col("resolved_ts").isNotNull().alias("resolved"))
+def firing_chain(alerts: DataFrame, seconds: float, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """As ``cooldown``, for rules of any size, by joins alone.
+
+    Every alert points to the first one later than the cooldown after it; those that
+    fire are the chain of pointers from a rule's first alert.  Time is cut into windows
+    as long as the cooldown, in each of which one alert fires at most, and windows into
+    pairs, pairs of pairs and so on.  Per level and alert at which a stretch can be
+    entered, the last alert that fires in the stretch follows from its two halves.  A
+    stretch is entered in its first window or at the first alert behind it, so every
+    level has about half the alerts of the one before.  Going back down, the alert that
+    enters each half is marked.
+    """
+    width = int(seconds * 1e6)
+    one = alerts.dropDuplicates(["rule", "ts", "event_id"])
+    start = one.agg(F.min(F.unix_micros("ts"))).first()[0] or 0
+    nodes = one.select("rule", (F.unix_micros("ts") - start).alias("t"), F.col("event_id").alias("id"))
+    asks = nodes.select("rule", (F.col("t") + width).alias("at"), "t", "id")
+    pointed = next_after(asks, nodes.select("rule", F.col("t").alias("at"), "id"), "rule", ["id"], piece_rows)
+    entry = settled(pointed.select("rule", "t", "id", F.struct(F.col("next.at").alias("t"), F.col("next.id").alias("id")).alias("next")), "chain")
+    used = []
+    size = lambda level: F.lit(max(width, 1) << level)
+    window = lambda t: ((t - F.pmod(t, size(0))) / size(0)).cast("bigint")
+    # the level at which an alert and the one it points to first share a stretch
+    meets = F.length(F.bin(window(F.col("t")).bitwiseXOR(window(F.col("next.t")))))
+    stretch = lambda t, level: ((t - F.pmod(t, size(level))) / size(level)).cast("bigint")
+    while (level := entry.agg(F.min(meets)).first()[0]) is not None:
+        inner = F.col("next.t").isNotNull() & (stretch(F.col("next.t"), level) == stretch(F.col("t"), level))
+        entry = entry.withColumn("inner", inner)
+        used.append(entry)
+        other = entry.select(F.col("rule").alias("_rule"), F.struct("t", "id").alias("_at"), F.col("next").alias("_next"))
+        far = entry.join(other, F.col("inner") & F.col("rule").eqNullSafe(F.col("_rule")) & (F.col("next") == F.col("_at")), "left")
+        far = far.select("rule", "t", "id", F.when(F.col("inner"), F.col("_next")).otherwise(F.col("next")).alias("next"))
+        behind = F.when(F.pmod(F.col("t"), size(level)) >= max(width, 1), F.struct("t", "id"))
+        least = entry.groupBy("rule", stretch(F.col("t"), level).alias("_s")).agg(F.min(behind).alias("_least"))
+        kept = far.withColumn("_behind", behind).withColumn("_s", stretch(F.col("t"), level)).alias("f").join(least.alias("l"), F.col("f.rule").eqNullSafe(F.col("l.rule")) & (F.col("f._s") == F.col("l._s")), "left")
+        entry = settled(kept.filter(F.col("f._behind").isNull() | (F.col("f._behind") == F.col("l._least"))).select("f.rule", "f.t", "f.id", "f.next"), "chain")
+    fires = settled(nodes.groupBy("rule").agg(F.min(F.struct("t", "id")).alias("at")), "fires")
+    for entry in reversed(used):
+        halves = entry.filter("inner").alias("e").join(fires.alias("m"), F.col("e.rule").eqNullSafe(F.col("m.rule")) & (F.struct("e.t", "e.id") == F.col("m.at")))
+        fires = settled(fires.union(halves.select("e.rule", F.col("e.next").alias("at"))).distinct(), "fires")
+    o, m = one.alias("o"), fires.alias("m")
+    same = F.col("o.rule").eqNullSafe(F.col("m.rule")) & (F.unix_micros("o.ts") - start == F.col("m.at.t")) & (F.col("o.event_id") == F.col("m.at.id"))
+    return o.join(m, same, "left_semi")
+
+
+def lifecycle(alerts: DataFrame, resolutions: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Open alerts with the time of the next resolution of the same rule, null if none follows.
+
+    A resolution at the very time of an alert resolves it.
+    """
+    asks = alerts.select("rule", (F.unix_micros("ts") - 1).alias("at"), "event_id", "ts")  # a resolution of the same time is behind it
+    found = next_after(asks, resolutions.select("rule", F.unix_micros("ts").alias("at")), "rule", [], piece_rows)
+    return found.select("rule", "event_id", "ts", F.timestamp_micros("next.at").alias("resolved_ts"), F.col("next").isNotNull().alias("resolved"))
 
 
 def fan_out(alerts: DataFrame, channels: list[str]) -> DataFrame:
