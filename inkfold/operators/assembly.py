@@ -49,8 +49,8 @@ def content_key(content: Column, lang: Column) -> Column:
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column, ttl: int = fixed.CACHE_TTL_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """Requests with a stored answer younger than ``ttl`` seconds, and the others."""
-    fresh = cache.filter(F.unix_timestamp("stored") + ttl > F.unix_timestamp(now)).select("key", "answer")
+    """Requests with a stored answer younger than ``ttl`` seconds, and the others; of several answers to a key the newest counts."""
+    fresh = cache.filter(F.unix_timestamp("stored") + ttl > F.unix_timestamp(now)).groupBy("key").agg(F.max_by("answer", F.struct("stored", "answer")).alias("answer"))
     hits = requests.join(fresh, "key")
     return hits, requests.join(fresh, "key", "left_anti")
 
@@ -60,6 +60,16 @@ def dedup_content(df: DataFrame, content: str = "text", lang: str = "lang") -> D
     return df.groupBy(content_key(F.col(content), F.col(lang)).alias("key")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
 
 
+def share_results(df: DataFrame, results: DataFrame, content: str = "text", lang: str = "lang") -> DataFrame:
+    """``df`` with the results of the smallest id of its content and language, which alone was worked on.
+
+    The join carries keys and results only on the small side; copies of one content are split by the skew join.
+    """
+    first = df.groupBy(content_key(F.col(content), F.col(lang)).alias("_key")).agg(F.min("doc_id").alias("first_id"))
+    found = first.join(results.withColumnRenamed("doc_id", "first_id"), "first_id", "left")
+    return df.withColumn("_key", content_key(F.col(content), F.col(lang))).join(found, "_key", "left").drop("_key")
+
+
 def attach_extractions(documents: DataFrame, extractions: DataFrame, keep_all: bool = False) -> DataFrame:
     """Extractions of finished documents; with ``keep_all`` documents without one stay, and languages fall back to the document's."""
     done = documents.filter(F.col("status") == "finished")

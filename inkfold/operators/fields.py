@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..stored import settled
+from .links import components
+from .ranges import PIECE_ROWS, carried, ranged, with_carried
 
 Field = dict[str, str]
 
@@ -110,21 +115,117 @@ def write_field_template(fields: DataFrame, path: str) -> None:
     fields.select("name", "type", "context", "regex").write.mode("overwrite").option("header", True).csv(path)
 
 
-def apply_changes(fields: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fields after the latest change of each name, and the rejected changes.
+def _epochs(changes: DataFrame) -> tuple[DataFrame, int]:
+    """``changes`` without the resets, with ``epoch``: how many resets came before; and the number of resets."""
+    resets = changes.filter("op = 'reset'").count()
+    if not resets:
+        return changes.withColumn("epoch", F.lit(0)), 0
+    cut = ranged(changes, ["ord"])
+    is_reset = F.count_if(F.col("op") == "reset")
+    before = carried(cut, [], {"_n": is_reset}, {"_before": F.sum("_n")})
+    inside = is_reset.over(Window.partitionBy("bucket").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    out = with_carried(cut.withColumn("_in", inside), before, []).withColumn("epoch", (F.coalesce("_before", F.lit(0)) + F.col("_in")).cast("int"))
+    return out.filter("op <> 'reset' or op is null").drop("bucket", "_in", "_before"), resets
 
-    ``changes``: ord, op (add, update, delete), name, type.  Adding a name that
-    is there, or changing one that is not, is rejected; of several changes to a
-    name each is judged by what the one before it left.
+
+def _judged(changes: DataFrame, base: DataFrame, limit: int) -> DataFrame:
+    """Changes of names that no rename ties to others, with ``_ok``.
+
+    Whether a name is there follows from the last add or delete before, accepted or
+    not: an add leaves it there, a delete does not, an update leaves it as it was.
+    """
+    key = ["epoch", "name"]
+    most = changes.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    cut = changes.withColumn("bucket", F.lit(0)) if most <= limit else ranged(changes, [*key, "ord"])
+    left = F.when(F.col("op") == "add", True).when(F.col("op") == "delete", False)
+    before = carried(cut, key, {"_end": F.max_by(left, F.when(left.isNotNull(), F.col("ord")))}, {"_start": F.last("_end", ignorenulls=True)})
+    inside = F.last(left, ignorenulls=True).over(Window.partitionBy(*key, "bucket").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    known = with_carried(cut.withColumn("_in", inside), before, key).join(base.select("epoch", "name", F.lit(True).alias("_had")), key, "left")
+    there = F.coalesce("_in", "_start", "_had", F.lit(False))
+    ok = F.when(F.col("op") == "add", ~there).when(F.col("op").isin("update", "delete"), there)
+    return known.withColumn("_ok", F.col("name").isNotNull() & F.coalesce(ok, F.lit(False)))
+
+
+def _folded(changes: DataFrame, base: DataFrame, roots: DataFrame) -> DataFrame:
+    """Changes and fields of names that renames tie together, in order per component: rejects, and fields at each end.
+
+    Rows stream through a task in order; it holds the names of one component.
+    """
+    shape = f"epoch int, ord {changes.schema['ord'].dataType.simpleString()}, op string, name {changes.schema['name'].dataType.simpleString()}, type string, kind string"
+    rows = changes.select("epoch", "ord", "op", "name", "type", "new_name").unionByName(base, allowMissingColumns=True).join(roots, ["epoch", "name"])
+    columns = ["epoch", "ord", "op", "name", "type", "kind"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for batch in batches:
+            out = []
+            names = batch["name"].tolist()
+            for name, new, root, (epoch, order, op, kind) in zip(names, batch["new_name"].tolist(), batch["root"].tolist(), batch[["epoch", "ord", "op", "type"]].itertuples(index=False, name=None), strict=True):
+                if (epoch, root) != at:
+                    out += [(at[0], None, None, n, t, "field") for n, t in held.items()] if at else []
+                    at, held = (epoch, root), {}
+                new = name if pd.isna(new) else new
+                if pd.isna(order):
+                    held[name] = kind
+                elif op == "add" and name not in held:
+                    held[name] = kind
+                elif op == "update" and name in held and (new == name or new not in held):
+                    del held[name]
+                    held[new] = kind
+                elif op == "delete" and name in held:
+                    del held[name]
+                else:
+                    out.append((epoch, order, op, name, None, "reject"))
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame([(at[0], None, None, n, t, "field") for n, t in held.items()] if at else [], columns=columns)
+
+    dealt = rows.repartition("epoch", "root").sortWithinPartitions("epoch", "root", F.col("ord").asc_nulls_first())
+    return dealt.mapInPandas(walk, shape)
+
+
+def apply_changes(fields: DataFrame, changes: DataFrame, defaults: DataFrame | None = None, limit: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Fields after a log of changes in the order of ``ord``, and the rejected changes.
+
+    ``changes``: ord (unique), op (add, update, delete, reset), name, type and, for an
+    update that renames, new_name.  Rejected are an add of a name that is there, an
+    update or delete of one that is not, a rename onto a name that is there, unknown
+    operations and changes without a name; each is judged by what the accepted ones
+    before it left.  A reset puts ``defaults`` in place of all fields, so the log falls
+    into epochs that are judged apart.  An update replaces the whole field.
+
+    Names that renames tie together are folded in order per component; all others are
+    judged by carries over their changes, however many one name has.
     """
-    held = Window.partitionBy("name").orderBy("ord")
-    before = F.lag(F.when(F.col("op") == "delete", False).otherwise(True)).over(held)
-    known = changes.join(fields.select("name", F.lit(True).alias("_had")), "name", "left")
-    known = known.withColumn("_there", F.coalesce(before, F.col("_had"), F.lit(False)))
-    known = known.withColumn("_ok", F.when(F.col("op") == "add", ~F.col("_there")).otherwise(F.col("_there")))
-    last = known.filter("_ok").groupBy("name").agg(F.max_by(F.struct("op", "type"), "ord").alias("c"))
-    out = fields.alias("f").join(last.alias("l"), "name", "full_outer").filter(F.coalesce(F.col("c.op") != "delete", F.lit(True)))
-    return out.select("name", F.coalesce("c.type", "f.type").alias("type")), known.filter(~F.col("_ok")).select("ord", "op", "name")
+    spark = fields.sparkSession
+    if defaults is None:
+        defaults = spark.createDataFrame([(f["name"], f["type"]) for f in fixed.DEFAULT_FIELDS], "name string, type string")
+    if "new_name" not in changes.columns:
+        changes = changes.withColumn("new_name", F.lit(None).cast(changes.schema["name"].dataType))
+    log, resets = _epochs(changes.select("ord", "op", "name", "type", "new_name"))
+    log = settled(log, "changes")
+    starts = spark.range(1, resets + 1).select(F.col("id").cast("int").alias("epoch"))
+    base = fields.select(F.lit(0).alias("epoch"), "name", "type")
+    if resets:
+        base = base.union(defaults.select("name", "type").join(starts.hint("broadcast")).select("epoch", "name", "type"))
+    renames = log.filter((F.col("op") == "update") & (F.col("new_name") != F.col("name")))
+    tied = None
+    if not renames.isEmpty():
+        ends = lambda n: F.struct("epoch", F.col(n).alias("name"))
+        tied = components(renames.select(ends("name").alias("a"), ends("new_name").alias("b"))).select("node.epoch", "node.name", F.col("root.name").alias("root"))
+        tied = settled(tied, "tied")
+    alone = log.join(tied, ["epoch", "name"], "left_anti") if tied is not None else log
+    judged = settled(_judged(alone, base, limit), "judged")
+    final = base.filter(F.col("epoch") == resets)
+    final = final.join(tied, ["epoch", "name"], "left_anti") if tied is not None else final
+    last = judged.filter(F.col("_ok") & (F.col("epoch") == resets)).groupBy("name").agg(F.max_by(F.struct("op", "type"), "ord").alias("c"))
+    out = final.join(last, "name", "full_outer").filter(F.coalesce(F.col("c.op") != "delete", F.lit(True)))
+    out = out.select("name", F.when(F.col("c").isNotNull(), F.col("c.type")).otherwise(F.col("type")).alias("type"))
+    bad = judged.filter(~F.col("_ok")).select("ord", "op", "name")
+    if tied is not None:
+        folded = settled(_folded(log, base, tied), "folded")
+        out = out.union(folded.filter((F.col("kind") == "field") & (F.col("epoch") == resets)).select("name", "type"))
+        bad = bad.union(folded.filter("kind = 'reject'").select("ord", "op", "name"))
+    return out, bad
 
 
 RESULT_SCHEMA = "file_id string, text string, confidence double, pages array<struct<page_num:int,text:string>>, entities map<string,array<string>>"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..stored import settled
 
 PAGE = ["doc_id", "page_num"]
 
@@ -132,16 +136,55 @@ def overlapping_pairs(shapes: DataFrame, cell: int = 300) -> DataFrame:
     return a.join(b, same & near).select("a.doc_id", "a.page_num", F.col("a.shape_ord").alias("a"), F.col("b.shape_ord").alias("b"))
 
 
-def accepted_stamps(shapes: DataFrame) -> DataFrame:
-    """Greedy per page: circles stay; a square stays unless it overlaps an accepted stamp before it."""
-    schema = "doc_id bigint, page_num int, shape_ord int"
-
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["is_circle", "shape_ord"], ascending=[False, True])
-        kept: list[tuple] = []
-        for r in page.itertuples():
-            if r.is_circle or all((r.x - k[1]) ** 2 + (r.y - k[2]) ** 2 >= (r.radius + k[3]) ** 2 for k in kept):
-                kept.append((r.shape_ord, r.x, r.y, r.radius))
-        return pd.DataFrame({"doc_id": page["doc_id"].iloc[0], "page_num": page["page_num"].iloc[0], "shape_ord": [k[0] for k in kept]})
+def accepted_stamps(shapes: DataFrame, rounds: int = 16) -> DataFrame:
+    """Greedy per page: circles stay; a square stays unless it overlaps an accepted stamp before it.
 
-    return shapes.select(*PAGE, "shape_ord", "x", "y", "radius", "is_circle").groupBy(*PAGE).applyInPandas(greedy, schema)
+    Squares on circles go first.  Then links between squares are worked off in rounds: a
+    square without an earlier one left on it stays, and what it overlaps goes with its
+    links.  What is left after ``rounds`` are long chains; their links are walked in order.
+    Shapes of one number follow each other by place and radius.
+    """
+    order = [*PAGE, "shape_ord", "x", "y", "radius"]
+    own = shapes.select(*order, "is_circle").repartitionByRange(*order).sortWithinPartitions(*order)
+    shapes = settled(own.withColumn("_number", F.col("shape_ord")).withColumn("shape_ord", F.monotonically_increasing_id()), "stamps")  # rises with the order
+    reach = shapes.agg(F.max("radius")).first()[0] or 0
+    kind = lambda n: shapes.select(*PAGE, F.col("shape_ord").alias(n), F.col("is_circle").alias(f"{n}_circle"))
+    pairs = overlapping_pairs(shapes, max(1, int(2 * reach) + 1)).join(kind("a"), [*PAGE, "a"]).join(kind("b"), [*PAGE, "b"])
+    pairs = settled(pairs.filter(~(F.col("a_circle") & F.col("b_circle"))), "stamp-pairs")
+    on_circle = pairs.filter("a_circle").select(*PAGE, F.col("b").alias("n")).union(pairs.filter("b_circle").select(*PAGE, F.col("a").alias("n"))).distinct()
+    gone = settled(on_circle, "stamps-gone")
+    named = lambda rows, n: rows.withColumnRenamed("n", n)
+    links = pairs.filter("not a_circle and not b_circle").select(*PAGE, "a", "b")
+    links = settled(links.join(named(gone, "a"), [*PAGE, "a"], "left_anti").join(named(gone, "b"), [*PAGE, "b"], "left_anti"), "stamp-links")
+    lost = [gone]
+    for _ in range(rounds):
+        if links.isEmpty():
+            break
+        first = links.select(*PAGE, "a").join(links.select(*PAGE, F.col("b").alias("a")), [*PAGE, "a"], "left_anti").distinct()
+        gone = settled(links.join(first, [*PAGE, "a"], "left_semi").select(*PAGE, F.col("b").alias("n")).distinct(), "stamps-gone")
+        lost.append(gone)
+        links = links.join(first, [*PAGE, "a"], "left_anti").join(named(gone, "a"), [*PAGE, "a"], "left_anti").join(named(gone, "b"), [*PAGE, "b"], "left_anti")
+        links = settled(links, "stamp-links")
+    lost.append(_walked_links(links))
+    gone = reduce(DataFrame.union, lost).withColumnRenamed("n", "shape_ord")
+    return shapes.join(gone, [*PAGE, "shape_ord"], "left_anti").select(*PAGE, F.col("_number").alias("shape_ord"))
+
+
+def _walked_links(links: DataFrame) -> DataFrame:
+    """``n``: squares that go, by their links in order of the later square; a task holds those of one page."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, gone = None, set()
+        for batch in batches:
+            out = []
+            for doc, num, a, b in batch[[*PAGE, "a", "b"]].itertuples(index=False, name=None):
+                if (doc, num) != page:
+                    page, gone = (doc, num), set()
+                if a not in gone and b not in gone:  # all links of a earlier square come before
+                    gone.add(b)
+                    out.append((doc, num, b))
+            yield pd.DataFrame(out, columns=[*PAGE, "n"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in links.schema}
+    dealt = links.repartition(*PAGE).sortWithinPartitions(*PAGE, "b", "a").select(*PAGE, "a", "b")
+    return dealt.mapInPandas(walk, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, n {kinds['b']}")

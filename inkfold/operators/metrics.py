@@ -129,19 +129,19 @@ def exposition(points: DataFrame) -> DataFrame:
 
 
 def _compare(value: Column, comparator: str, limit: float) -> Column:
-    tests = {">": value > limit, ">=": value >= limit, "<": value < limit, "<=": value <= limit, "==": value == limit, "!=": value != limit}
-    if comparator not in tests:
+    if comparator not in fixed.COMPARATORS:
         raise ValueError(f"unknown comparator {comparator!r}")
+    tests = {">": value > limit, ">=": value >= limit, "<": value < limit, "<=": value <= limit, "==": value == limit, "!=": value != limit}
     return tests[comparator]
 
 
 def threshold_alerts(points: DataFrame, rules: list[dict]) -> DataFrame:
-    """One alert per point and rule that it meets.  Rules: rule, name, comparator, limit, severity."""
+    """One alert per point and rule that it meets, with its message.  Rules: rule, name, comparator, limit, severity, and a description (else the rule's name)."""
     for rule in rules:
         if rule["severity"] not in fixed.SEVERITIES:
             raise ValueError(f"unknown severity {rule['severity']!r}")
     found = [
-        F.when((F.col("name") == r["name"]) & _compare(F.col("value"), r["comparator"], r["limit"]), F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["severity"]).alias("severity"), F.lit(float(r["limit"])).alias("limit")))
+        F.when((F.col("name") == r["name"]) & _compare(F.col("value"), r["comparator"], r["limit"]), F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["severity"]).alias("severity"), F.lit(float(r["limit"])).alias("limit"), F.format_string(fixed.THRESHOLD_MESSAGE, F.lit(r.get("description", r["rule"])), "name", F.col("value").cast("string"), F.lit(str(r["limit"])), F.lit(r["comparator"])).alias("message")))
         for r in rules
     ]
     return points.select("event_id", "ts", "name", "value", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
@@ -153,7 +153,7 @@ def predicate_alerts(points: DataFrame, rules: dict[str, tuple[Column, str]]) ->
     return points.select("event_id", "ts", "name", "value", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
-def change_alerts(points: DataFrame, limit: float, percent: bool = True, piece_rows: int = PIECE_ROWS) -> DataFrame:
+def change_alerts(points: DataFrame, limit: float, percent: bool = True, description: str = "change", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Points whose change from the name's previous value reaches ``limit``; the first value is silent.
 
     The previous value is looked up inside the time bucket, and for a bucket's first
@@ -165,7 +165,9 @@ def change_alerts(points: DataFrame, limit: float, percent: bool = True, piece_r
     out = with_carried(cut.withColumn("_in", inside), before, ["name"]).withColumn("previous", F.coalesce("_in", "end"))
     v, p = F.col("value"), F.col("previous")
     change = F.when(p == 0, F.when(v > 0, F.lit(float("inf"))).otherwise(0.0)).otherwise((v - p) / F.abs(p) * 100) if percent else v - p
-    return out.withColumn("change", change).filter(F.abs("change") >= limit).select("event_id", "ts", "name", "value", "previous", "change")
+    unit = "%" if percent else ""
+    message = F.format_string(fixed.CHANGE_MESSAGE, F.lit(description), "name", "change", F.lit(unit), F.lit(str(limit)), F.lit(unit))
+    return out.withColumn("change", change).filter(F.abs("change") >= limit).select("event_id", "ts", "name", "value", "previous", "change", message.alias("message"))
 
 
 def cooldown(alerts: DataFrame, seconds: float = fixed.COOLDOWN_SECONDS, walk_rows: int = PIECE_ROWS) -> DataFrame:

@@ -64,12 +64,14 @@ def rejected_changes(spark, d):
 
 
 def _changes(spark, d):
-    """Line items as a change log on the fields that even part numbers had."""
-    items = table(spark, d, "lineitem").withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    one = items.groupBy(F.col("l_partkey").alias("name")).agg(F.min("ord").alias("ord"))
+    """All line items as one change log on the fields that even part numbers had; some updates rename inside a block of four parts, some rows reset."""
+    items = table(spark, d, "lineitem").withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("name", F.col("l_partkey"))
     kinds = F.element_at(F.array(F.lit("add"), F.lit("update"), F.lit("delete")), (F.col("ord") % 3 + 1).cast("int"))
-    fields = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("name"), F.lit("text").alias("type"))
-    return fields, one.select("ord", kinds.alias("op"), "name", F.concat(F.lit("t"), (F.col("ord") % 5).cast("string")).alias("type"))
+    kinds = F.when((F.col("l_orderkey") % 5000 == 3) & (F.col("l_linenumber") == 1), "reset").otherwise(kinds)
+    new = F.when(F.col("ord") % 7 < 3, F.floor(F.col("name") / 4) * 4 + F.col("ord") % 4)
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("name"))
+    changes = items.select("ord", kinds.alias("op"), "name", F.concat(F.lit("t"), (F.col("ord") % 5).cast("string")).alias("type"), new.alias("new_name"))
+    return parts.filter("name % 2 = 0").withColumn("type", F.lit("text")), changes, parts.filter("name % 3 = 0").withColumn("type", F.lit("d"))
 
 
 def _results(spark, d):
@@ -112,7 +114,16 @@ def collect_export(spark, d):
 
 
 _VALUES = "v AS (SELECT doc_id, source, 'Acme' || (doc_id % 9) || ' Ltd' AS company, (doc_id % 90) || '-' || (doc_id % 5000) AS invoice, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 700) || '.25' ELSE CAST(doc_id % 9 AS VARCHAR) END AS amount FROM documents)"
-_FIRST = "f AS (SELECT l_partkey AS name, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY 1), c AS (SELECT name, ord, ['add', 'update', 'delete'][ord % 3 + 1] AS op, 't' || (ord % 5) AS type FROM f), h AS (SELECT p_partkey AS name FROM part WHERE p_partkey % 2 = 0), j AS (SELECT c.*, h.name IS NOT NULL AS had, CASE WHEN op = 'add' THEN h.name IS NULL ELSE h.name IS NOT NULL END AS ok FROM c LEFT JOIN h USING (name))"
+_FOLD = """WITH RECURSIVE l AS (SELECT l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_orderkey % 5000 = 3 AND l_linenumber = 1 THEN 'reset' ELSE ['add', 'update', 'delete'][(l_orderkey * 10 + l_linenumber) % 3 + 1] END AS op, l_partkey AS name FROM lineitem),
+e AS (SELECT *, 't' || (ord % 5) AS type, CASE WHEN ord % 7 < 3 THEN name // 4 * 4 + ord % 4 ELSE name END AS new, count(*) FILTER (op = 'reset') OVER (ORDER BY ord) AS epoch, name // 4 AS block FROM l),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY epoch, block ORDER BY ord) AS k FROM e WHERE op <> 'reset'),
+p AS (SELECT epoch, p_partkey // 4 AS block, p_partkey % 4 AS slot, CASE WHEN epoch = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'text' END WHEN p_partkey % 3 = 0 THEN 'd' END AS type FROM part, (SELECT unnest(range((SELECT count(*) + 1 FROM l WHERE op = 'reset'))) AS epoch) t),
+b AS (SELECT epoch, block, [max(type) FILTER (slot = 0), max(type) FILTER (slot = 1), max(type) FILTER (slot = 2), max(type) FILTER (slot = 3)] AS s FROM p GROUP BY 1, 2),
+w AS (SELECT epoch, block, CAST(0 AS BIGINT) AS k, s, CAST(NULL AS BIGINT) AS ord, true AS ok FROM b
+  UNION ALL SELECT epoch, block, k, CASE WHEN NOT ok THEN s ELSE [CASE WHEN op = 'add' AND slot_ = i OR op = 'update' AND to_ = i THEN type WHEN op <> 'add' AND slot_ = i THEN NULL ELSE s[i + 1] END FOR i IN [0, 1, 2, 3]] END, ord, ok
+  FROM (SELECT c.epoch, c.block, c.k, w.s, c.ord, c.op, c.type, c.name % 4 AS slot_, c.new % 4 AS to_,
+    CASE c.op WHEN 'add' THEN w.s[c.name % 4 + 1] IS NULL WHEN 'delete' THEN w.s[c.name % 4 + 1] IS NOT NULL ELSE w.s[c.name % 4 + 1] IS NOT NULL AND (c.new = c.name OR w.s[c.new % 4 + 1] IS NULL) END AS ok
+    FROM w JOIN c ON w.epoch = c.epoch AND w.block = c.block AND c.k = w.k + 1) z)"""
 
 QUERIES = {
     "extract_fields": (extract_fields, f"WITH {_VALUES} SELECT doc_id, unnest(['invoice_number', 'total_amount', 'company_name']) AS field_name, unnest(['text', 'amount', 'company']) AS field_type, unnest([invoice, amount, company]) AS value FROM v"),
@@ -120,8 +131,8 @@ QUERIES = {
     "parse_extractions": (parse_responses, "WITH g AS (SELECT * FROM documents WHERE doc_id % 7 <> 0) SELECT doc_id, 'invoice_number' AS field_name, 'text' AS field_type, 'A' || doc_id AS value_string, NULL::DOUBLE AS value_double FROM g UNION ALL SELECT doc_id, 'company_name', 'company', NULL, NULL FROM g UNION ALL SELECT doc_id, 'total_amount', 'amount', CASE doc_id % 4 WHEN 0 THEN '-' || (doc_id % 50) || ',5 EUR' WHEN 1 THEN '-' || (doc_id % 50) END, CASE doc_id % 4 WHEN 0 THEN CAST((doc_id % 50) || '5' AS DOUBLE) WHEN 1 THEN CAST(-(doc_id % 50) AS DOUBLE) END FROM g"),
     "parse_extraction_errors": (parse_errors, "SELECT doc_id, 'no JSON object' AS error FROM documents WHERE doc_id % 7 = 0"),
     "export_fields": (export_fields, f"WITH {_VALUES} SELECT source AS origin, CAST(doc_id AS VARCHAR) AS doc_id, invoice AS invoice_number, amount AS total_amount, company AS company_name FROM v"),
-    "apply_field_changes": (apply_changes, f"WITH {_FIRST} SELECT coalesce(h.name, j.name) AS name, CASE WHEN ok THEN type ELSE 'text' END AS type FROM h FULL JOIN j USING (name) WHERE (h.name IS NOT NULL AND NOT coalesce(ok AND op = 'delete', false)) OR (h.name IS NULL AND ok)"),
-    "rejected_field_changes": (rejected_changes, f"WITH {_FIRST} SELECT ord, op, name FROM j WHERE NOT ok"),
+    "apply_field_changes": (apply_changes, _FOLD + " SELECT * FROM (SELECT block * 4 + i AS name, s[i + 1] AS type FROM (SELECT block, arg_max(s, k) AS s FROM (SELECT epoch, block, k, s, max(epoch) OVER () AS e FROM w) v WHERE epoch = e GROUP BY 1) z, (SELECT unnest(range(4)) AS i) t) y WHERE type IS NOT NULL"),
+    "rejected_field_changes": (rejected_changes, _FOLD + " SELECT ord, op, name FROM w JOIN c USING (epoch, block, k, ord) WHERE NOT ok"),
     "read_results": (read_results, "SELECT CAST(doc_id AS VARCHAR) AS file_id, 'x' AS text, CAST((doc_id % 100) / 100.0 AS DOUBLE) AS confidence FROM documents"),
     "read_result_pages": (read_result_pages, "SELECT CAST(doc_id AS VARCHAR) AS file_id, k AS page_num, 'page ' || k || ' of ' || doc_id AS text FROM documents, (SELECT unnest([1, 2]) AS k) t"),
     "read_result_entities": (read_result_entities, "SELECT CAST(doc_id AS VARCHAR) AS file_id, unnest(['emails', 'dates', 'dates']) AS entity_type, unnest(['a' || doc_id || '@b.org', '2023-01-01', '2024-01-01']) AS value FROM documents"),

@@ -97,5 +97,9 @@ SELECT doc_id, page_num, ['receipt', 'invoice', 'form', 'handwritten'][list_posi
     "key_values": (key_values, "SELECT user_id AS doc_id, event_type AS key, arg_max(props->>'$.k', event_id) AS value FROM events GROUP BY 1, 2"),
     "resolve_params": (resolve_params, "SELECT doc_id, [t, l][2 - CAST(t IS NOT NULL AS INT)].a AS threshold, [t, l][2 - CAST(t IS NOT NULL AS INT)].b AS block_size, [t, l][2 - CAST(t IS NOT NULL AS INT)].c AS denoise_h, [t, l][2 - CAST(t IS NOT NULL AS INT)].d AS contrast FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {'a': 200, 'b': 15, 'c': 12, 'd': 1.4::DOUBLE} WHEN 1 THEN {'a': 180, 'b': 19, 'c': 15, 'd': 1.1::DOUBLE} END AS t, CASE doc_id % 4 WHEN 0 THEN {'a': 180, 'b': 15, 'c': 10, 'd': 1.3::DOUBLE} WHEN 1 THEN {'a': 180, 'b': 13, 'c': 10, 'd': 1.2::DOUBLE} ELSE {'a': 190, 'b': 11, 'c': 8, 'd': 1.2::DOUBLE} END AS l FROM documents) q"),
     "overlapping_stamps": (overlapping_stamps, f"WITH {SHAPES} SELECT a.doc_id, a.page_num, a.shape_ord AS a, b.shape_ord AS b FROM shapes_ a JOIN shapes_ b ON a.doc_id = b.doc_id AND a.shape_ord < b.shape_ord WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < a.radius + b.radius"),
-    "accepted_stamps": (accepted_stamps, None),
+    "accepted_stamps": (accepted_stamps, f"""WITH RECURSIVE {SHAPES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY CASE WHEN is_circle THEN 0 ELSE 1 END, shape_ord, x, y, radius) AS k FROM shapes_),
+w AS (SELECT doc_id, page_num, k, [{{'n': shape_ord, 'x': x, 'y': y, 'r': radius}}] AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.page_num, o.k, CASE WHEN o.is_circle OR len(list_filter(w.kept, lambda s: (s.x - o.x) ** 2 + (s.y - o.y) ** 2 < (s.r + o.radius) ** 2)) = 0
+    THEN list_append(w.kept, {{'n': o.shape_ord, 'x': o.x, 'y': o.y, 'r': o.radius}}) ELSE w.kept END FROM w JOIN o ON o.doc_id = w.doc_id AND o.page_num = w.page_num AND o.k = w.k + 1)
+SELECT doc_id, page_num, unnest(kept).n AS shape_ord FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, page_num ORDER BY k DESC) = 1) z"""),
 }

@@ -47,11 +47,11 @@ def latest_per_key(spark, d):
 
 
 def exposition(spark, d):
-    return op.exposition(metrics(spark, d).withColumn("name", F.concat(F.lit("ink."), "name", F.when(F.col("name") == "view", ".count").otherwise("")))).select("metric", F.col("line_no").cast("bigint").alias("line_no"), F.split("line", " ")[0].alias("line"))
+    return op.exposition(metrics(spark, d).withColumn("name", F.concat(F.lit("ink."), "name", F.when(F.col("name") == "view", ".count").otherwise("")))).select("metric", F.col("line_no").cast("bigint").alias("line_no"), F.col("line").alias("line"))
 
 
 def threshold_alerts(spark, d):
-    return op.threshold_alerts(metrics(spark, d), RULES).select("event_id", "rule", "severity", "value")
+    return op.threshold_alerts(metrics(spark, d), RULES).select("event_id", "rule", "severity", "value", "message")
 
 
 def predicate_alerts(spark, d):
@@ -72,7 +72,7 @@ def alert_lifecycle(spark, d):
 
 
 def fan_out_alerts(spark, d):
-    return op.fan_out(op.threshold_alerts(metrics(spark, d), RULES), ["mail", "chat"]).select("event_id", "channel", F.split("payload", "\n")[0].alias("head"))
+    return op.fan_out(op.threshold_alerts(metrics(spark, d), RULES), ["mail", "chat"]).select("event_id", "channel", "payload")
 
 
 def severity_route(spark, d):
@@ -133,8 +133,12 @@ r AS (SELECT name, t, k, n, x, x AS a, x AS b FROM m WHERE k = 1
   UNION ALL SELECT m.name, m.t, m.k, m.n, m.x, CASE WHEN r.x = 0 THEN m.x ELSE r.a * exp(-{SECONDS} / 60.0) + m.x * (1 - exp(-{SECONDS} / 60.0)) END, CASE WHEN r.x = 0 THEN m.x ELSE r.b * exp(-{SECONDS} / 900.0) + m.x * (1 - exp(-{SECONDS} / 900.0)) END FROM r JOIN m ON m.name = r.name AND m.k = r.k + 1)
 SELECT name, t, round(n, 3) AS count, round(x, 6) AS mean_rate, round(a, 6) AS rate_1m, round(b, 6) AS rate_15m FROM r"""),
     "latest_per_key": (latest_per_key, f"WITH {METRICS} SELECT name, tag, value FROM metrics_ QUALIFY row_number() OVER (PARTITION BY name, tag ORDER BY ts DESC, event_id DESC) = 1"),
-    "prometheus_exposition": (exposition, f"WITH {METRICS}, l AS (SELECT DISTINCT 'ink_' || name || CASE WHEN name = 'view' THEN '_count' ELSE '' END AS metric, tag FROM metrics_), n AS (SELECT metric, tag, CAST(row_number() OVER (PARTITION BY metric ORDER BY tag) + 2 AS BIGINT) AS line_no FROM l), z AS (SELECT metric, max(line_no) AS m FROM n GROUP BY 1) SELECT metric, line_no, metric || '{{user=\"' || tag || '\"}}' AS line FROM n UNION ALL SELECT metric, unnest([1, 2, m + 1]), unnest(['#', '#', '']) FROM z"),
-    "threshold_alerts": (threshold_alerts, f"WITH {_ALERTS} SELECT event_id, rule, severity, value FROM alerts"),
+    "prometheus_exposition": (exposition, f"""WITH {METRICS}, v AS (SELECT name, tag, value FROM metrics_ QUALIFY row_number() OVER (PARTITION BY name, tag ORDER BY ts DESC, event_id DESC) = 1),
+l AS (SELECT 'ink_' || name || CASE WHEN name = 'view' THEN '_count' ELSE '' END AS metric, 'ink.' || name || CASE WHEN name = 'view' THEN '.count' ELSE '' END AS full_name, tag, value FROM v),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY metric ORDER BY CAST(tag AS VARCHAR)) + 2 AS BIGINT) AS line_no FROM l), z AS (SELECT metric, any_value(full_name) AS f, max(line_no) AS m FROM n GROUP BY 1)
+SELECT metric, line_no, metric || '{{user="' || tag || '"}} ' || CAST(value AS VARCHAR) AS line FROM n
+UNION ALL SELECT metric, unnest([1, 2, m + 1]), unnest(['# HELP ' || metric || ' ' || f, '# TYPE ' || metric || ' ' || CASE WHEN f LIKE '%.count' THEN 'counter' ELSE 'gauge' END, '']) FROM z"""),
+    "threshold_alerts": (threshold_alerts, f"WITH {_ALERTS} SELECT event_id, rule, severity, value, rule || ': ' || CASE rule WHEN 'slow' THEN 'view' WHEN 'low' THEN 'click' ELSE 'error' END || '의 값 ' || CAST(value AS VARCHAR) || '이(가) 임계값 ' || CASE rule WHEN 'slow' THEN '400' WHEN 'low' THEN '20' ELSE '100' END || '을(를) ' || CASE rule WHEN 'slow' THEN '>' WHEN 'low' THEN '<=' ELSE '>=' END || ' 만족합니다.' AS message FROM alerts"),
     "predicate_alerts": (predicate_alerts, f"WITH {METRICS} SELECT event_id, 'odd' AS rule, 'error' AS severity FROM metrics_ WHERE event_id % 7 = 0 AND value > 100"),
     "change_alerts": (change_alerts, f"WITH {METRICS}, p AS (SELECT *, lag(value) OVER (PARTITION BY name ORDER BY ts, event_id) AS q FROM metrics_), c AS (SELECT *, CASE WHEN q = 0 THEN CASE WHEN value > 0 THEN 'inf'::DOUBLE ELSE 0 END ELSE (value - q) / abs(q) * 100 END AS change FROM p) SELECT event_id, name, round(change, 3) AS change FROM c WHERE abs(change) >= 50"),
     "cooldown": (cooldown, f"""WITH RECURSIVE {_ALERTS}, n AS (SELECT rule, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY rule ORDER BY ts, event_id) AS k FROM alerts),
@@ -142,7 +146,7 @@ w AS (SELECT rule, event_id, k, t AS fired, true AS fires FROM n WHERE k = 1
   UNION ALL SELECT n.rule, n.event_id, n.k, CASE WHEN n.t - w.fired > {SECONDS} THEN n.t ELSE w.fired END, n.t - w.fired > {SECONDS} FROM w JOIN n ON n.rule = w.rule AND n.k = w.k + 1)
 SELECT event_id, rule FROM w WHERE fires"""),
     "alert_lifecycle": (alert_lifecycle, f"WITH {_ALERTS}, r AS (SELECT *, min(CASE WHEN event_id % 5 = 0 THEN epoch_us(ts) END) OVER (PARTITION BY rule ORDER BY ts, event_id % 5 = 0, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS u FROM alerts) SELECT event_id, rule, u IS NOT NULL AS resolved, u AS resolved_us FROM r WHERE event_id % 5 <> 0"),
-    "fan_out_alerts": (fan_out_alerts, f"WITH {_ALERTS} SELECT event_id, 'mail' AS channel, 'Alert: ' || rule || ' - ' || upper(severity) AS head FROM alerts UNION ALL SELECT event_id, 'chat', '[' || severity || '] ' || rule FROM alerts"),
+    "fan_out_alerts": (fan_out_alerts, f"""WITH {_ALERTS} SELECT event_id, 'mail' AS channel, 'Alert: ' || rule || ' - ' || upper(severity) || chr(10) || '{{"rule":"' || rule || '","severity":"' || severity || '","value":' || CAST(value AS VARCHAR) || '}}' AS payload FROM alerts UNION ALL SELECT event_id, 'chat', '[' || severity || '] ' || rule FROM alerts"""),
     "severity_route": (severity_route, f"WITH {_ALERTS} SELECT channel, rule, count(*) AS n FROM alerts, (SELECT unnest(['mail', 'chat', 'hook']) AS channel) c GROUP BY 1, 2"),
     "rate_limit_report": (rate_limits, f"WITH {METRICS}, q AS (SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS minute_us, tag AS key, ['anonymous', 'bot', 'user'][tag % 3 + 1] AS role, count(*) AS n FROM metrics_ GROUP BY 1, 2, 3), l AS (SELECT *, CASE role WHEN 'anonymous' THEN 3 WHEN 'user' THEN 8 ELSE 5 END AS allowed FROM q) SELECT * FROM l WHERE n > allowed"),
     "live_keys": (live_keys, f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{NOW}'"),

@@ -132,6 +132,36 @@ def test_stamps_are_taken_greedily(spark):
     assert sorted((r["a"], r["b"]) for r in layout.overlapping_pairs(shapes).collect()) == [(1, 2), (3, 4)]
 
 
+def test_long_chains_of_stamps_equal_the_fold(spark):
+    rows = [(1, 1, k, 6 * k, (k * 7919) % 5, 4 + k % 3, k % 41 == 0) for k in range(200)] + [(2, 1, k, 9 * k, 0, 5, False) for k in range(60)]
+    shapes = spark.createDataFrame(rows, "doc_id bigint, page_num int, shape_ord int, x int, y int, radius int, is_circle boolean").repartition(3)
+    want = []
+    for doc in (1, 2):
+        kept = []
+        for _, _, n, x, y, r, c in sorted((s for s in rows if s[0] == doc), key=lambda s: (not s[6], s[2])):
+            if c or all((x - k[1]) ** 2 + (y - k[2]) ** 2 >= (r + k[3]) ** 2 for k in kept):
+                kept.append((n, x, y, r))
+        want += [(doc, k[0]) for k in kept]
+    for rounds in (0, 2):
+        assert sorted((r["doc_id"], r["shape_ord"]) for r in layout.accepted_stamps(shapes, rounds).collect()) == sorted(want)
+
+
+def test_newest_cached_answer_and_shared_results(spark):
+    cache = spark.createDataFrame([("k", 1, 100), ("k", 2, 200), ("k", 3, 150), ("old", 4, -99999)], "key string, answer int, s bigint").select("key", "answer", F.timestamp_seconds("s").alias("stored"))
+    hits, misses = assembly.cache_lookup(spark.createDataFrame([("k",), ("old",), ("x",)], "key string"), cache, F.timestamp_seconds(F.lit(300)))
+    assert [tuple(r) for r in hits.collect()] == [("k", 2)] and sorted(r["key"] for r in misses.collect()) == ["old", "x"]
+    docs = spark.createDataFrame([(3, "a", "en"), (1, "a", "en"), (2, "a", "de"), (4, None, None)], "doc_id int, text string, lang string")
+    out = assembly.share_results(docs, spark.createDataFrame([(1, "r1"), (2, "r2")], "doc_id int, answer string"))
+    assert {r["doc_id"]: r["answer"] for r in out.collect()} == {1: "r1", 2: "r2", 3: "r1", 4: None}
+
+
+def test_messages_of_alerts(spark):
+    points = spark.createDataFrame([(1, 0, "cpu", 50.0), (2, 1, "cpu", 90.5)], "event_id bigint, s bigint, name string, value double").withColumn("ts", F.timestamp_seconds("s"))
+    rule = {"rule": "r", "name": "cpu", "comparator": ">", "limit": 80.0, "severity": "info", "description": "load"}
+    assert [r["message"] for r in metrics.threshold_alerts(points, [rule]).collect()] == ["load: cpu의 값 90.5이(가) 임계값 80.0을(를) > 만족합니다."]
+    assert [r["message"] for r in metrics.change_alerts(points, 50, description="jump").collect()] == ["jump: cpu의 변화량이 81.00%로, 임계값 50%을(를) 초과했습니다."]
+
+
 def test_meter_equals_the_step_by_step_rule(spark):
     import math
 
