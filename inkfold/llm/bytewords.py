@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 PRIME, WORD_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-PIECE_BYTES = 1 << 20
-GROUP_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
+GROUP_BYTES = 1 << 17  # arrays of 64-bit numbers per byte stay at a megabyte each
 
 
 def byte_table(words: set[int], lower: bool = True) -> np.ndarray:
@@ -89,7 +89,7 @@ class WordHasher:
 
 
 def groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts of some megabytes together; a longer text stands alone."""
+    """Consecutive texts of up to ``GROUP_BYTES`` together; a longer text stands alone."""
     at = 0
     while at < len(texts):
         end, size = at + 1, len(texts[at])

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, WordHasher, groups, texts_as_bytes, windows
-from .support import OWN, arrow_column, written
+from .support import OWN, arrow_column, trimmed, written
 
 WINDOW = 13
 BROADCAST_BYTES, LEAST_PIECE = 4 << 20, 1024
@@ -41,45 +41,75 @@ RESULT_ARROW = pa.struct([
 ])
 
 
-def item_windows(item_id: str, text: bytes, hasher: WordHasher, size: int):
-    """(length, hash, words, item) of every window of an item; fewer words than ``size`` are one window."""
+def item_windows(text: bytes, hasher: WordHasher, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Length, hashes, starts and ends of an item's windows in its lower-cased words joined by spaces; fewer words than ``size`` are one window."""
     starts, ends, hashes = hasher.words(text)
     length = min(size, len(starts))
-    if length:
-        words = [text[a:b].lower() for a, b in zip(starts, ends, strict=True)]
-        for i, h in enumerate(windows(hashes, length)):
-            yield length, int(h), b" ".join(words[i : i + length]), item_id
+    if not length:
+        return 0, hashes[:0], starts[:0], ends[:0], b""
+    joined = b" ".join([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]).lower()
+    last = np.cumsum(ends - starts + 1) - 1
+    first = last - (ends - starts)
+    n = len(starts) - length + 1
+    return length, windows(hashes, length), first[:n], last[length - 1 :], joined
+
+
+class Windows:
+    """Windows of one length: sorted hashes with their places in the benchmark's words, and a bit table before them.
+
+    A window takes 28 bytes and up to 16 of the table; words are compared in the one buffer.
+    """
+
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.starts, self.ends, self.items = hashes[order], starts[order], ends[order], items[order]
+        bits = max(16, (len(hashes) * 8 - 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[(self.hashes >> self.shift).astype(np.int64)] = True
+        self.met: dict[int, list[tuple[bytes, set[str]]]] = {}
 
 
 class WindowSet:
-    """The benchmark's windows by length: a bit table first, then hash, then the words."""
-
-    def __init__(self, rows):
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        for length, h, words, item in rows:
-            found.setdefault(length, {}).setdefault(h, {}).setdefault(words, set()).add(item)
-        self.by_length = {}
-        for length, hashes in found.items():
-            bits = max(16, (len(hashes) * 16 - 1).bit_length())
-            seen = np.zeros(1 << bits, bool)
-            seen[(np.fromiter(hashes, np.uint64, len(hashes)) >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.by_length[length] = (np.uint64(64 - bits), seen, np.sort(np.fromiter(hashes, np.uint64, len(hashes))), hashes)
+    """The benchmark's windows by length; ``rows`` are items and their texts."""
+
+    def __init__(self, rows: list[tuple[str, bytes]], hasher: WordHasher, size: int):
+        found: dict[int, list[tuple]] = {}
+        self.names, parts, at = [item for item, _ in rows], [], 0
+        for k, (_, text) in enumerate(rows):
+            length, hashes, starts, ends, joined = item_windows(text, hasher, size)
+            if length:
+                found.setdefault(length, []).append((hashes, starts + at, ends + at, np.full(len(hashes), k, np.int32)))
+                parts.append(joined)
+                at += len(joined)
+        self.words = b"".join(parts)
+        self.by_length = {length: Windows(*map(np.concatenate, zip(*own, strict=True))) for length, own in found.items()}
+
+    def _items(self, known: Windows, h: int, words: bytes) -> set[str] | None:
+        """Items with a window of these words; what a hash stands for is put together when it is first met."""
+        if h not in known.met:
+            a, b = np.searchsorted(known.hashes, np.uint64(h)), np.searchsorted(known.hashes, np.uint64(h), side="right")
+            texts: dict[bytes, set[str]] = {}
+            for k in range(a, b):
+                texts.setdefault(self.words[known.starts[k] : known.ends[k]], set()).add(self.names[known.items[k]])
+            known.met[h] = list(texts.items())
+        return next((items for text, items in known.met[h] if text == words), None)
 
     def hits(self, data: bytes, starts, ends, hashes, firsts) -> list[tuple[int, int, int, set[str]]]:
         """(first word, length, text, items) of verified windows within one text each."""
         out = []
-        for length, (shift, seen, known, exact) in self.by_length.items():
+        for length, known in self.by_length.items():
             grams = windows(hashes, length)
-            at = np.flatnonzero(seen[(grams >> shift).astype(np.int64)])
+            at = np.flatnonzero(known.seen[(grams >> known.shift).astype(np.int64)])
             if not len(at):
                 continue
-            place = np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)
-            at = at[known[place] == grams[at]]
+            place = np.minimum(np.searchsorted(known.hashes, grams[at]), len(known.hashes) - 1)
+            at = at[known.hashes[place] == grams[at]]
             text = np.searchsorted(firsts, at, side="right") - 1
             whole = at + length <= firsts[text + 1]
             for i, t in zip(at[whole].tolist(), text[whole].tolist(), strict=True):
                 words = b" ".join(data[starts[j] : ends[j]].lower() for j in range(i, i + length))
-                if items := exact[int(grams[i])].get(words):
+                if items := self._items(known, int(grams[i]), words):
                     out.append((i, length, t, items))
         return out
 
@@ -121,8 +151,8 @@ def _scanner(sent: Broadcast, size: int):
     def scan(text: pa.Array) -> pa.Array:
         if not cache:
             hasher = WordHasher(ALNUM)
-            cache["own"] = WindowSet(w for item, data in sent.value for w in item_windows(item, data, hasher, size)), hasher
-        return pa.array(scan_texts(texts_as_bytes(text), *cache["own"]), RESULT_ARROW)
+            cache["own"] = WindowSet(sent.value, hasher, size), hasher
+        return trimmed(pa.array(scan_texts(texts_as_bytes(text), *cache["own"]), RESULT_ARROW))
 
     return scan
 

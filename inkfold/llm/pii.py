@@ -133,11 +133,13 @@ def phone(text: str, at: int, least: int) -> tuple[int, int, bool] | None:
 def url(text: str, at: int, least: int) -> tuple[int, int, bool] | None:
     """``at`` is the colon of ``://``; only addresses with a user name are personal."""
     start = _back(text, at, least, LETTERS)
+    if start == at:
+        return None
     end = at + 3
     while end < len(text) and not text[end].isspace() and text[end] not in "<>\"'":
         end += 1
     host = text[at + 3 : end].split("/")[0]
-    return (start, end, "@" in host.strip("@")) if start < at else None
+    return start, end, "@" in host.strip("@")
 
 
 def _after_cue(text: str, at: int) -> int | None:
@@ -230,12 +232,12 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind",
 
 @arrow_column("array<struct<start:int,end:int,kind:string>>")
 def _spans(text: pa.Array) -> pa.Array:
-    return pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in spans(x or "")] for x in text.to_pylist()], _SPAN)
+    return pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in spans(x or "")] for x in (v.as_py() for v in text)], _SPAN)
 
 
 @arrow_column("string")
 def _redacted(text: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else redacted(x, spans(x)) for x in text.to_pylist()], pa.string())
+    return pa.array([None if x is None else redacted(x, spans(x)) for x in (v.as_py() for v in text)], pa.string())
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,25 @@ from pyspark.sql import functions as F
 OWN = "__ink_"
 
 
+def trimmed(out: pa.Array) -> pa.Array:
+    """``out``, after memory that Python and Arrow no longer use has gone back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+    return out
+
+
 def arrow_column(returns: str) -> Callable:
     """An Arrow function on columns that is only built when it is applied: a type given as text needs a session."""
-    return lambda run: lambda *columns: F.arrow_udf(run, returns)(*columns)
+
+    def wrap(run: Callable) -> Callable:
+        @functools.wraps(run)
+        def own(*columns: pa.Array) -> pa.Array:
+            return trimmed(run(*columns))
+
+        return lambda *columns: F.arrow_udf(own, returns)(*columns)
+
+    return wrap
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

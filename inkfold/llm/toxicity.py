@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import OWN, labelled_sample, written
+from .support import OWN, labelled_sample, trimmed, written
 
 SAMPLE_ROWS, THRESHOLD = 20_000, 0.5
 EVIDENCE = math.log(10_000)
@@ -121,10 +121,10 @@ def _hits_udf(spark, weights: dict[str, float], exceptions: list[str]):
         if not cache:
             cache["own"] = Lexicon(*sent.value)
         out = []
-        for x in text.to_pylist():
+        for x in (v.as_py() for v in text):
             n, weight = cache["own"].hits(x or "")
             out.append({"n": n, "weight": weight, "chars": len(x or "")})
-        return pa.array(out, kind)
+        return trimmed(pa.array(out, kind))
 
     return hits
 
