@@ -64,8 +64,8 @@ def rejected_changes(spark, d):
 
 
 def _changes(spark, d):
-    """All line items as one change log on the fields that even part numbers had; some updates rename inside a block of four parts, some rows reset."""
-    items = table(spark, d, "lineitem").withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("name", F.col("l_partkey"))
+    """All line items as one change log, in the order of order, line and part, on the fields that even part numbers had; some updates rename inside a block of four parts, some rows reset."""
+    items = table(spark, d, "lineitem").withColumn("ord", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey")).withColumn("name", F.col("l_partkey"))
     kinds = F.element_at(F.array(F.lit("add"), F.lit("update"), F.lit("delete")), (F.col("ord") % 3 + 1).cast("int"))
     kinds = F.when((F.col("l_orderkey") % 5000 == 3) & (F.col("l_linenumber") == 1), "reset").otherwise(kinds)
     new = F.when(F.col("ord") % 7 < 3, F.floor(F.col("name") / 4) * 4 + F.col("ord") % 4)
@@ -114,7 +114,7 @@ def collect_export(spark, d):
 
 
 _VALUES = "v AS (SELECT doc_id, source, 'Acme' || (doc_id % 9) || ' Ltd' AS company, (doc_id % 90) || '-' || (doc_id % 5000) AS invoice, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 700) || '.25' ELSE CAST(doc_id % 9 AS VARCHAR) END AS amount FROM documents)"
-_FOLD = """WITH RECURSIVE l AS (SELECT l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_orderkey % 5000 = 3 AND l_linenumber = 1 THEN 'reset' ELSE ['add', 'update', 'delete'][(l_orderkey * 10 + l_linenumber) % 3 + 1] END AS op, l_partkey AS name FROM lineitem),
+_FOLD = """WITH RECURSIVE l AS (SELECT ord, CASE WHEN l_orderkey % 5000 = 3 AND l_linenumber = 1 THEN 'reset' ELSE ['add', 'update', 'delete'][ord % 3 + 1] END AS op, l_partkey AS name FROM (SELECT *, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey AS ord FROM lineitem) t),
 e AS (SELECT *, 't' || (ord % 5) AS type, CASE WHEN ord % 7 < 3 THEN name // 4 * 4 + ord % 4 ELSE name END AS new, count(*) FILTER (op = 'reset') OVER (ORDER BY ord) AS epoch, name // 4 AS block FROM l),
 c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY epoch, block ORDER BY ord) AS k FROM e WHERE op <> 'reset'),
 p AS (SELECT epoch, p_partkey // 4 AS block, p_partkey % 4 AS slot, CASE WHEN epoch = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'text' END WHEN p_partkey % 3 = 0 THEN 'd' END AS type FROM part, (SELECT unnest(range((SELECT count(*) + 1 FROM l WHERE op = 'reset'))) AS epoch) t),
