@@ -38,6 +38,7 @@ from .support import OWN, labelled_sample, trimmed, written
 
 SAMPLE_ROWS, THRESHOLD = 20_000, 0.5
 EVIDENCE = math.log(10_000)
+HELD_STEMS = 100_000  # counts that a worker holds before it hands them on
 
 # ---- fixed values: lexicon, exceptions, look-alikes -----------------------------
 LEXICON = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
@@ -132,16 +133,26 @@ def _hits_udf(spark, weights: dict[str, float], exceptions: list[str]):
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, sig, clean): a row per stem of a toxic text, and the number of clean texts with a stem; texts that share their smallest word hash have one sig."""
     kind = pa.schema([("term", pa.string()), ("sig", pa.int64()), ("clean", pa.int64())])
+
+    def counted(n: Counter[str]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(n), pa.string()), pa.nulls(len(n), pa.int64()), pa.array(list(n.values()), pa.int64())], kind)
+
     for batch in batches:
         n: Counter[str] = Counter()
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for label, value in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
+            text = value.as_py()
             if label and (words := set(text.split())):
                 own = list(stems(text))
                 sig = min(xxhash.xxh64_intdigest(w.encode()) for w in words) >> 1
                 yield pa.record_batch([pa.array(own, pa.string()), pa.array([sig] * len(own), pa.int64()), pa.array([0] * len(own), pa.int64())], kind)
             elif not label:
                 n.update(stems(text))
-        yield pa.record_batch([pa.array(list(n), pa.string()), pa.nulls(len(n), pa.int64()), pa.array(list(n.values()), pa.int64())], kind)
+                if len(n) > HELD_STEMS:
+                    yield counted(n)
+                    n = Counter()
+        out = counted(n)
+        del n
+        yield trimmed(out)
 
 
 def tested(sample: DataFrame, min_texts: int, share: float) -> DataFrame:

@@ -91,7 +91,7 @@ def test_messy_rows_and_empty_tables(spark, tables, messy, empty, stage):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, tables, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables}/{t}.parquet'")
     got, want = queries.queries()[name](spark, tables).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
