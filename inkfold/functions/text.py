@@ -20,7 +20,8 @@ SPACE = r"[\s\x1c-\x1f]"  # used with (?U)
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
+    """One space for each run of white space; single spaces, nearly all runs, are left as they are."""
+    return F.trim(F.regexp_replace(text, rf"(?U)(?:[\s\x1c-\x1f&&[^ ]]| {SPACE}){SPACE}*", " "))
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -28,6 +29,27 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def gated(text: Column, cue: Callable[[Column], Column], rule: Callable[[Column], Column]) -> Column:
+    """``rule(text)`` where ``cue(text)`` holds, else ``text``: rules whose fixed part is not there are not tried.
+
+    ``cue`` has to hold wherever ``rule`` can change anything.
+    """
+    return bound(text, lambda value: F.when(cue(value), rule(value)).otherwise(value))
+
+
+def has(*literals: str) -> Callable[[Column], Column]:
+    """Whether a text contains one of ``literals``."""
+
+    def cue(value: Column) -> Column:
+        found = [F.contains(value, F.lit(x)) for x in literals]
+        out = found[0]
+        for x in found[1:]:
+            out = out | x
+        return out
+
+    return cue
+
+
 def rewrite_hits(text: Column, pattern: str, fix: Callable[[Column], Column]) -> Column:
     """Replace each match of ``pattern`` by ``fix`` of it; linear in the text."""
 
@@ -50,7 +72,7 @@ def lower_email_tail(text: Column) -> Column:
         head = F.regexp_extract(hit, r"^[^@]*@[^.]*\.", 0)
         return F.concat(head, F.lower(F.substr(hit, F.length(head) + 1)))
 
-    return rewrite_hits(text, ADDRESS, fix)
+    return gated(text, has("@"), lambda value: rewrite_hits(value, ADDRESS, fix))
 
 
 def normalize_folded(text: Column) -> Column:
@@ -89,10 +111,13 @@ def english(text: Column) -> Column:
         sentences, lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))
     )
     out = F.array_join(capital, " ")
-    for wrong, right in fixed.ENGLISH_TERMS.items():
-        rule = rf"(?U)\b{re.escape(wrong)}(?!\w)"
-        out = F.regexp_replace(out, rule, right)
-    return out
+
+    def terms(value: Column) -> Column:
+        for wrong, right in fixed.ENGLISH_TERMS.items():
+            value = F.regexp_replace(value, rf"(?U)\b{re.escape(wrong)}(?!\w)", right)
+        return value
+
+    return gated(out, has(*fixed.ENGLISH_TERMS), terms)
 
 
 def chinese(text: Column) -> Column:
@@ -114,19 +139,36 @@ def _amount(text: Column, pattern: str, before: str, after: str) -> Column:
     return rewrite_hits(text, pattern, fix)
 
 
+def _format_cue(kind: str, pattern: str) -> Callable[[Column], Column]:
+    """What a text must hold before a format rule can change it."""
+    if kind in ("prefix_amount", "suffix_amount"):
+        return has(pattern)
+    for sign in ("年", "년", "〒", "식", "Inc", "Corp", "Ltd", "LLC", "LLP"):
+        if sign in pattern:
+            return has(sign)
+    if kind == "company":
+        return has(pattern)
+    if kind == "registration":
+        return lambda value: value.rlike(r"(?U)\d{5}")
+    return has("/") if ")/(" in pattern else lambda value: value.rlike(r"(?U)\d[./,-]")
+
+
 def business_formats(text: Column, lang: str) -> Column:
-    """Fold the language's ordered format rules into one expression."""
-    out = text
-    for kind, pattern, replacement in fixed.BUSINESS_FORMATS.get(lang, []):
-        if kind == "prefix_amount":
-            out = _amount(out, rf"(?U){re.escape(pattern)}{SPACE}*[0-9]{{4,}}", pattern, "")
-        elif kind == "suffix_amount":
-            out = _amount(out, rf"(?U)(?<![0-9])[0-9]{{4,}}+{SPACE}*{pattern}", "", replacement + pattern)
-        else:
-            out = F.regexp_replace(out, "(?U)" + pattern, replacement)
+    """Fold the language's ordered format rules into one expression; a rule is tried only where its fixed part stands."""
+    out, rules = text, fixed.BUSINESS_FORMATS.get(lang, [])
+    for kind, pattern, replacement in rules:
+        out = gated(out, _format_cue(kind, pattern), _format_rule(kind, pattern, replacement))
     return out
 
 
+def _format_rule(kind: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
+    if kind == "prefix_amount":
+        return lambda v: _amount(v, rf"(?U){re.escape(pattern)}{SPACE}*[0-9]{{4,}}", pattern, "")
+    if kind == "suffix_amount":
+        return lambda v: _amount(v, rf"(?U)(?<![0-9])[0-9]{{4,}}+{SPACE}*{pattern}", "", replacement + pattern)
+    return lambda v: F.regexp_replace(v, "(?U)" + pattern, replacement)
+
+
 LANGUAGE_RULES = {
     "jpn": japanese,
     "kor": korean,

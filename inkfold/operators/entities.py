@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import has
 
 PAGE = ["doc_id", "page_num"]
 
@@ -14,8 +17,21 @@ PAGE = ["doc_id", "page_num"]
 EMAIL = r"(?:\G|(?<![a-zA-Z0-9._%+-]))" + fixed.EMAIL_PATTERN
 
 
+#: Fixed parts of the patterns: a pattern that names one of a row matches only where one of the row stands.
+CUES = [
+    ("Inc", "Corp", "LLC", "Ltd", "LLP", "Limited"), ("Company",), tuple(fixed.MONTHS.split("|")), ("株式会社",), ("合同会社",), ("有限会社",),
+    ("년",), ("주",), ("日",), ("₩",), ("원",), ("¥",), ("円",), ("\\$",), ("USD",), ("〒",), ("府", "県"), ("@",), ("\\+",), ("/",),
+]
+
+
 def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
+    """All matches of ``pattern``; texts without any of its fixed parts are not searched."""
+    flags = "(?U)" if re.search(r"\\[dsw]", pattern) else ""
+    found = F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0))
+    for parts in CUES:
+        if any(x in pattern for x in parts):
+            return F.when(has(*(x.strip("\\") for x in parts))(text), found).otherwise(F.array().cast("array<string>"))
+    return found
 
 
 def addresses(text: Column, around: int = fixed.ADDRESS_CONTEXT) -> Column:

@@ -10,11 +10,11 @@ from .derived import table
 
 
 def _pages(spark, d, lang="eng"):
-    """Documents as two pages each with a date, an amount and a company planted by id."""
+    """Documents as two pages: the whole text, and the whole text with a date, an amount and a company planted by id."""
     n = F.col("doc_id")
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page_num"))
     planted = F.concat(F.lit(". Paid Jan "), (n % 28 + 1).cast("string"), F.lit(", 2023 and 2023-04-"), (n % 9 + 1).cast("string"), F.lit(" $"), (n % 900).cast("string"), F.lit(".50 to Acme"), (n % 7).cast("string"), F.lit(" Holding Inc. mail a"), (n % 50).cast("string"), F.lit("@b.org end"))
-    return docs.withColumn("text", F.when(F.col("page_num") == 1, F.concat("text", planted)).otherwise(F.substr("text", F.lit(1), F.lit(200)))).withColumn("lang", F.lit(lang))
+    return docs.withColumn("text", F.when(F.col("page_num") == 1, F.concat("text", planted)).otherwise(F.col("text"))).withColumn("lang", F.lit(lang))
 
 
 def _entities(spark, d):
@@ -46,7 +46,7 @@ def extract_addresses(spark, d):
 
 
 _PAGES = """p AS (SELECT doc_id, 1 AS page_num, coalesce(text, '') || '. Paid Jan ' || (doc_id % 28 + 1) || ', 2023 and 2023-04-' || (doc_id % 9 + 1) || ' $' || (doc_id % 900) || '.50 to Acme' || (doc_id % 7) || ' Holding Inc. mail a' || (doc_id % 50) || '@b.org end' AS text FROM documents
-  UNION ALL SELECT doc_id, 2, substr(coalesce(text, ''), 1, 200) FROM documents)"""
+  UNION ALL SELECT doc_id, 2, coalesce(text, '') FROM documents)"""
 _LISTS = ", ".join([
     "('emails', regexp_extract_all(text, '" + fixed.EMAIL_PATTERN + "'))",
     *["('phones', regexp_extract_all(text, '" + x + "'))" for x in fixed.PHONE_PATTERNS],

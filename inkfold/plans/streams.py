@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as batch
+from ..stored import shared_folder
 from ..streaming import forms
 from .derived import METRICS
 from .metrics import QUERIES as BATCH
@@ -22,8 +23,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/inkfold-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drained(df: DataFrame) -> DataFrame:
@@ -34,6 +34,13 @@ def _drained(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+def _upserted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Run the stream over what is there and read the last state of every key, open windows included."""
+    spark, folder = df.sparkSession, _folder(df.sparkSession)
+    forms.write_latest(df, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return forms.read_latest(spark, df.schema, f"{folder}/out", keys)
+
+
 def dedup(spark, d):
     return _drained(forms.dedup(_stream(spark, d), ["name", "tag"], "1000 days").select("name", "tag"))
 
@@ -49,8 +56,7 @@ def counter(spark, d):
 
 
 def histogram(spark, d):
-    """Windows that the watermark has closed; those still open at the end have not been emitted yet."""
-    out = _drained(forms.histogram(_stream(spark, d), "1 day"))
+    out = _upserted(forms.histogram(_stream(spark, d), "1 day"), ["start", "name"])
     return out.select(F.unix_micros("start").alias("start_us"), "name", "n", F.round("sum", 3).alias("sum"), "min", "max")
 
 
@@ -61,17 +67,15 @@ def cooldown(spark, d):
 def rate_limits(spark, d):
     role = F.element_at(F.array(F.lit("anonymous"), F.lit("bot"), F.lit("user")), (F.col("tag") % 3 + 1).cast("int"))
     requests = _stream(spark, d).withColumn("key", F.col("tag")).withColumn("role", role).withColumn("ts", F.date_trunc("day", "ts"))
-    out = _drained(forms.rate_limits(requests, {"anonymous": 3, "user": 8}, 5))
+    out = _upserted(forms.rate_limits(requests, {"anonymous": 3, "user": 8}, 5), ["minute", "key", "role"])
     return out.select(F.unix_micros("minute").alias("minute_us"), "key", "role", "n", "allowed")
 
 
-_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM metrics_)"
-
 QUERIES = {
     "stream_dedup": (dedup, "SELECT DISTINCT event_type AS name, user_id % 10 AS tag FROM events"),
     "stream_metric_log": (metric_log, "SELECT event_type AS name, count(*) AS n, round(sum(value), 3) AS sum FROM events GROUP BY 1"),
     "stream_counter": (counter, BATCH["counter"][1]),
-    "stream_histogram": (histogram, f"WITH {METRICS} SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS start_us, name, count(*) AS n, round(sum(value), 3) AS sum, min(value) AS min, max(value) AS max FROM metrics_ GROUP BY date_trunc('day', ts), name HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED}"),
+    "stream_histogram": (histogram, f"WITH {METRICS} SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS start_us, name, count(*) AS n, round(sum(value), 3) AS sum, min(value) AS min, max(value) AS max FROM metrics_ GROUP BY date_trunc('day', ts), name"),
     "stream_cooldown": (cooldown, BATCH["cooldown"][1]),
-    "stream_rate_limits": (rate_limits, f"SELECT * FROM ({BATCH['rate_limit_report'][1]}) r WHERE minute_us + 60000000 <= (SELECT epoch_us(date_trunc('day', max(ts))::TIMESTAMP) - 3600000000 FROM events)"),
+    "stream_rate_limits": (rate_limits, BATCH["rate_limit_report"][1]),
 }

@@ -22,9 +22,10 @@ def _coded(spark, d):
 
 
 def _planted(spark, d, pieces):
-    """A short text per document with numbers from its id spliced in."""
+    """Whole texts behind a planted sentence with numbers from the id."""
     n = F.col("doc_id")
-    return _docs(spark, d).select("doc_id", F.concat(*[p(n) if callable(p) else F.lit(p) for p in pieces]).alias("text"))
+    planted = [p(n) if callable(p) else F.lit(p) for p in pieces]
+    return _docs(spark, d).select("doc_id", F.concat(*planted, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _month(n):
@@ -145,7 +146,54 @@ def missing_languages(spark, d):
 _CODES = "CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'jpn' WHEN 'fr' THEN 'kor' WHEN 'es' THEN 'chi_sim' END"
 _COMMON = r"trim(regexp_replace(text, '[ \t\n\r\x0b\x0c]+', ' ', 'g'))"
 _M, _A = "CAST(doc_id % 9 + 1 AS VARCHAR)", "CAST(doc_id * 7919 % 900000 + 100000 AS VARCHAR)"
-_GROUPED = f"substr({_A}, 1, 3) || ',' || substr({_A}, 4, 3)"
+
+
+def _steps(pieces, steps):
+    """SQL that takes whole texts behind the planted ``pieces`` through ``steps``, expressions over ``text``, one after another."""
+    planted = " || ".join(_M if p is _month else _A if p is _amount else f"'{p}'" for p in pieces)
+    chain = [f"t0 AS (SELECT doc_id, {planted} || ' ' || coalesce(text, '') AS text FROM documents)"]
+    for k, step in enumerate([_COMMON, *steps]):
+        chain.append(f"t{k + 1} AS (SELECT doc_id, {step} AS text FROM t{k})")
+    return f"WITH {', '.join(chain)} SELECT doc_id, text FROM t{len(steps) + 1}"
+
+
+def _swap(pattern, to):
+    return f"regexp_replace(text, '{pattern}', '{to}', 'g')"
+
+
+def _sums(hit, before, after):
+    """Numbers of four or more digits at a currency sign, their digits in groups."""
+    digits = "regexp_replace(regexp_extract(h, '[0-9]+'), '^0+([0-9])', '\\1')"
+    grouped = f"ltrim(reverse(regexp_replace(reverse({digits}), '([0-9]{{3}})', '\\1,', 'g')), ',')"
+    fixed_hits = f"list_transform(regexp_extract_all(text, '{hit}'), lambda h: '{before}' || {grouped} || '{after}')"
+    return f"(SELECT array_to_string(list_transform(list_zip(g, f), lambda z: z[1] || coalesce(z[2], '')), '') FROM (SELECT regexp_split_to_array(text, '{hit}') AS g, {fixed_hits} AS f) x)"
+
+
+#: RE2 cannot look ahead: the end of each number is marked, so a rule can ask for it without taking the next character.
+_MARK, _UNMARK = r"regexp_replace(text, '(\d)(\D)', '\1' || chr(1) || '\2', 'g')", "replace(text, chr(1), '')"
+_DIGITS, _DOTS = "translate(text, '０１２３４５６７８９', '0123456789')", "translate(text, '﹅﹆', '・・')"
+_JAPANESE = [
+    _DIGITS, _DOTS, _swap(r"([。．！？])\s*", r"\1" + "\n"), r"regexp_replace(text, '\n$', '')",
+    _swap(r"(\d{4})年(\d)月(\d)日", r"\1年0\2月0\3日"), _swap(r"(\d{4})年(\d{2})月(\d)日", r"\1年\2月0\3日"), _swap(r"(\d{4})年(\d)月(\d{2})日", r"\1年0\2月\3日"),
+    _swap(r"(令和|平成|昭和)(\d{1,2})年(\d)月(\d)日", r"\1\2年0\3月0\4日"), _sums(r"¥\s*[0-9]{4,}", "¥", ""), _sums(r"[0-9]{4,}\s*円", "", "円"),
+    _swap("株式含社|株式会杜|株式會社", "株式会社"), _swap("有恨会社", "有限会社"), _swap("含同会社", "合同会社"), _swap(r"〒\s*(\d{3})\s*[-−]\s*(\d{4})", r"〒\1-\2"),
+]
+_KOREAN = [
+    _DIGITS, _swap(rf"([가-힣])\s+({fixed.KOREAN_PARTICLES})", r"\1\2"), _swap(r"([.!?])\s+", r"\1" + "\n"),
+    _swap(r"(\d{4})년\s*(\d)월\s*(\d)일", r"\1년 0\2월 0\3일"), _swap(r"(\d{4})년\s*(\d{2})월\s*(\d)일", r"\1년 \2월 0\3일"), _swap(r"(\d{4})년\s*(\d)월\s*(\d{2})일", r"\1년 0\2월 \3일"),
+    _MARK, _swap(r"(^|\D)(\d{4})\x01?[./-](\d)\x01?[./-](\d)(\x01|$)", r"\1\2-0\3-0\4"), _swap(r"(^|\D)(\d{4})\x01?[./-](\d{2})\x01?[./-](\d)(\x01|$)", r"\1\2-\3-0\4"), _swap(r"(^|\D)(\d{4})\x01?[./-](\d)\x01?[./-](\d{2})(\x01|$)", r"\1\2-0\3-\4"),
+    _UNMARK, _sums(r"₩\s*[0-9]{4,}", "₩", ""), _sums(r"[0-9]{4,}\s*원", "", "원"), _swap(r"\(주\)\s*식\s*회\s*사", "(주)"), _swap(r"주\s*식\s*회\s*사", "주식회사"),
+    _MARK, _swap(r"(^|\D)(\d{3})\x01?\s*[-−]?\s*(\d{2})\x01?\s*[-−]?\s*(\d{5})(\x01|$)", r"\1\2-\3-\4"), _UNMARK,
+]
+_CHINESE = [_DIGITS, _DOTS, _swap(r"。\s*", "。\n")]
+_CAPITALS = "array_to_string(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: upper(s[1]) || s[2:]), ' ')"
+_TERMS = [_swap(rf"\b{wrong.replace('.', '[.]')}(\W|$)", rf"{right}\1") for wrong, right in fixed.ENGLISH_TERMS.items()]
+_ENGLISH_RULES = [
+    _CAPITALS, *_TERMS, _swap(r"([\pL\pN_]{3})\s+(\d),\s+(\d{4})", r"\1 0\2, \3"),
+    _MARK, _swap(r"(^|\D)(\d)\x01?/(\d)\x01?/(\d{4})(\x01|$)", r"\10\2/0\3/\4"), _swap(r"(^|\D)(\d)\x01?/(\d{2})\x01?/(\d{4})(\x01|$)", r"\10\2/\3/\4"), _swap(r"(^|\D)(\d{2})\x01?/(\d)\x01?/(\d{4})(\x01|$)", r"\1\2/0\3/\4"),
+    _UNMARK, _sums(r"\$\s*[0-9]{4,}", "$", ""), _sums(r"[0-9]{4,}\s*USD", "", " USD"),
+    *[_swap(rf"{c}\b\.?", c + dot) for c, dot in (("Inc", "."), ("Corp", "."), ("Ltd", "."), ("LLC", ""), ("LLP", ""))],
+]
 _ENGLISH = f"""WITH w AS (SELECT doc_id, lang, string_split({_COMMON}, ' ') AS w FROM documents)
 SELECT doc_id, CASE WHEN lang = 'en' THEN array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = 1 OR w[i - 1] SIMILAR TO '.*[.!?]' THEN upper(w[i][1]) || w[i][2:] ELSE w[i] END), ' ')
   ELSE array_to_string(w, ' ') END AS text FROM w"""
@@ -156,10 +204,10 @@ x AS (SELECT *, unnest(range(f, l + 1)) AS page_num FROM p WHERE l >= f)"""
 QUERIES = {
     "normalize_common": (normalize_common, f"SELECT doc_id, {_COMMON} AS text FROM documents"),
     "normalize_by_language": (normalize_by_language, _ENGLISH),
-    "normalize_japanese": (_one_language("jpn", JPN), f"SELECT doc_id, '2023年0' || {_M} || '月0' || {_M} || '日・株式会社。' || chr(10) || '次 ' || {_GROUPED} || '円' AS text FROM documents"),
-    "normalize_korean": (_one_language("kor", KOR), f"SELECT doc_id, '테스트를 진행.' || chr(10) || '합계 ₩' || {_GROUPED} || ' 2023년 0' || {_M} || '월 0' || {_M} || '일' AS text FROM documents"),
-    "normalize_chinese": (_one_language("chi_sim", CHI), f"SELECT doc_id, '第' || {_M} || '页・。' || chr(10) || '下 一页' AS text FROM documents"),
-    "normalize_english": (_one_language("eng", ENG), f"SELECT doc_id, 'This is it. Paid on Jan 0' || {_M} || ', 2023 and 01/0' || {_M} || '/2023: $' || {_GROUPED} || ' or ' || {_GROUPED} || ' USD to Acme Inc., limited' AS text FROM documents"),
+    "normalize_japanese": (_one_language("jpn", JPN), _steps(JPN, _JAPANESE)),
+    "normalize_korean": (_one_language("kor", KOR), _steps(KOR, _KOREAN)),
+    "normalize_chinese": (_one_language("chi_sim", CHI), _steps(CHI, _CHINESE)),
+    "normalize_english": (_one_language("eng", ENG), _steps(ENG, _ENGLISH_RULES)),
     "normalize_pages": (normalize_pages, f"SELECT conv_id AS doc_id, turn, CASE WHEN {_COMMON} = '' THEN text ELSE {_COMMON} END AS text FROM conversations"),
     "split_sentences": (split_sentences, r"SELECT doc_id, unnest(range(len(s))) AS sentence_no, unnest(s) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\r\x0b\x0c]', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE length(text) > 0) t"),
     "chunk_text": (chunk_text, "SELECT doc_id, k AS chunk_no, k * 900 AS start, md5(substr(text, CAST(k * 900 + 1 AS BIGINT), 1000)) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 1000 THEN 1 ELSE CAST(ceil((length(text) - 100) / 900.0) AS BIGINT) END)) AS k FROM documents WHERE length(text) > 0) t"),

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import fixed
 
@@ -33,6 +34,27 @@ def read_metric_log(spark, path: str) -> DataFrame:
     return spark.read.schema("event_id bigint, ts timestamp, name string, value double, tag bigint").json(path)
 
 
+def write_latest(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """Aggregates whose windows may still be open: each batch writes the groups that it has changed.
+
+    A batch replaces the folder of its own id, so one that is run again after a
+    lost executor leaves the same files; ``read_latest`` takes the newest row of each key.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+    return writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, schema: StructType, path: str, keys: list[str]) -> DataFrame:
+    """What ``write_latest`` has written so far: one row per key, from the last batch that changed it."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, "batch")]), "batch").alias("_row"))
+    return last.select(*keys, "_row.*")
+
+
 def histogram(stream: DataFrame, window: str = "1 day", late: str = LATE) -> DataFrame:
     """Count, sum, minimum and maximum per name and tumbling window."""
     cut = stream.withWatermark("ts", late).groupBy(F.window("ts", window), "name")
