@@ -14,7 +14,12 @@ mask lists the code point spans of assistant texts.
 
 Defined results: null texts are empty and a null role is an empty role; rows of
 a null conversation form one conversation; equal turns follow each other by role
-and text, repeated rows all count; an empty table gives an empty result.
+and text; an empty table gives an empty result; extra columns are left aside.
+Repeated rows of a node all count, as turns that follow each other; if they name
+different parents or scores, the smallest (parent, score) holds for the node, a
+null parent before all others.  Rows without a node, and nodes whose way up ends
+in a cycle, have no place in a tree: they are left out of the paths and returned
+by ``rejects``; the rest of their conversation stays.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from .support import written
 
 OPEN, CLOSE = "### ", "</turn>\n"
-ROUNDS = 40
+COLUMNS = ["conv", "node", "parent", "role", "text", "score"]
 
 
 def escaped(text: Column) -> Column:
@@ -49,20 +54,22 @@ def as_replies(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     return own.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 
 
-def paths(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Depth and path score of every node, and the pointers of 1, 2, 4, ... steps that were used.
+def paths(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Depth and path score of every node, the pointers of 1, 2, 4, ... steps that were used, and the nodes that never reach a root.
 
     ``nodes``: ``conv, node, parent, score``.  A parent that is not there, or a
-    node of itself, makes a root.  Pointers on a cycle never end and raise.
+    node of itself, makes a root.  A pointer that is open after as many steps as
+    the largest conversation has nodes runs in a cycle.
     """
-    known = nodes.select("conv", F.col("node").alias("p"))
-    up = nodes.alias("a").join(known.alias("b"), F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.parent") == F.col("b.p")) & (F.col("a.parent") != F.col("a.node")), "left")
+    one = nodes.filter("node is not null").groupBy("conv", "node").agg(F.min(F.struct("parent", "score")).alias("up"))
+    one = one.select("conv", "node", "up.parent", "up.score")
+    known = one.select("conv", F.col("node").alias("p"))
+    up = one.alias("a").join(known.alias("b"), F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.parent") == F.col("b.p")) & (F.col("a.parent") != F.col("a.node")), "left")
     state = up.select("a.conv", "a.node", F.col("b.p").alias("jump"), F.lit(0).cast("bigint").alias("depth"), F.col("a.score").alias("total"))
     state = written(state.withColumn("depth", F.when(F.col("jump").isNotNull(), 1).otherwise(0).cast("bigint")), "replies")
-    used = [state]
-    for _ in range(ROUNDS):
-        if state.filter("jump is not null").isEmpty():
-            return state.select("conv", "node", "depth", "total"), used
+    most = state.groupBy("conv").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    used, steps = [state], 1
+    while steps <= most and not state.filter("jump is not null").isEmpty():
         settled = state.filter("jump is null")  # only pointers that have not come to a root go on
         a, b = state.filter("jump is not null").alias("a"), state.alias("b")
         far = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.jump") == F.col("b.node")), "left")
@@ -73,7 +80,14 @@ def paths(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         )
         state = written(settled.unionByName(far), "replies")
         used.append(state)
-    raise ValueError("the replies contain a cycle")
+        steps *= 2
+    return state.filter("jump is null").select("conv", "node", "depth", "total"), used, state.filter("jump is not null").select("conv", "node")
+
+
+def rejects(replies: DataFrame) -> DataFrame:
+    """``conv, node, reason`` of what has no place in a tree: rows without a node, and nodes whose way up ends in a cycle."""
+    nowhere = replies.filter("node is null").select("conv", "node", F.lit("no node").alias("reason"))
+    return nowhere.union(paths(replies.select("conv", "node", "parent", "score"))[2].withColumn("reason", F.lit("cycle")))
 
 
 def choose_paths(replies: DataFrame, per_tree: int = 1) -> DataFrame:
@@ -81,7 +95,7 @@ def choose_paths(replies: DataFrame, per_tree: int = 1) -> DataFrame:
 
     Leaves are ranked by the mean score of their path, then longer paths first, then by node.
     """
-    reach, used = paths(replies)
+    reach, used, _ = paths(replies)
     parents = replies.filter("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
     a, b = reach.alias("a"), parents.alias("b")
     leaves = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.node") == F.col("b.node")), "left_anti")
@@ -99,7 +113,7 @@ def choose_paths(replies: DataFrame, per_tree: int = 1) -> DataFrame:
 
 def format_replies(replies: DataFrame, per_tree: int = 1) -> DataFrame:
     """``conv, path, n_turns, formatted, loss_spans``: one row for each chosen path."""
-    replies = written(replies, "replies")  # texts are ordered once
+    replies = written(replies.select(*COLUMNS), "replies")  # texts are ordered once
     chosen = choose_paths(replies.select("conv", "node", "parent", "score"), per_tree)
     c, r = chosen.alias("c"), replies.alias("r")
     turns = r.join(c, F.col("c.conv").eqNullSafe(F.col("r.conv")) & (F.col("c.node") == F.col("r.node")))
