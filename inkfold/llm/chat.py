@@ -96,7 +96,7 @@ def choose_paths(replies: DataFrame, per_tree: int = 1) -> DataFrame:
     Leaves are ranked by the mean score of their path, then longer paths first, then by node.
     """
     reach, used, _ = paths(replies)
-    parents = replies.filter("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
+    parents = used[0].filter("jump is not null").select("conv", F.col("jump").alias("node")).distinct()  # a node of itself is nobody's parent
     a, b = reach.alias("a"), parents.alias("b")
     leaves = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.node") == F.col("b.node")), "left_anti")
     best = Window.partitionBy("conv").orderBy((F.col("total") / (F.col("depth") + 1)).desc(), F.col("depth").desc(), F.col("node"))
