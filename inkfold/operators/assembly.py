@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..stored import shared_folder
+from .ranges import PIECE_ROWS
 
 PAGE = ["doc_id", "page_num"]
 
@@ -78,12 +82,40 @@ def attach_extractions(documents: DataFrame, extractions: DataFrame, keep_all: b
 
 
 def paginate(df: DataFrame, order: list[str], page: int = 1, per_page: int = fixed.PAGE_SIZE) -> tuple[DataFrame, DataFrame]:
-    """Rows of one page in a total order, and (current_page, total_pages, total_items)."""
+    """Rows of one page in a total order, and (current_page, total_pages, total_items).
+
+    All rows before the page pass one task; pages far behind are read through ``page_index`` and ``page_of``.
+    """
     rows = df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
     totals = df.agg(F.count("*").alias("total_items"))
     return rows, totals.select(F.lit(page).alias("current_page"), F.ceil(F.col("total_items") / per_page).alias("total_pages"), "total_items")
 
 
+def page_index(df: DataFrame, order: list[str], rows: int = PIECE_ROWS, most: int = 10_000) -> DataFrame:
+    """``df`` written once in ranges of ``order``, one folder for each, for any number of pages to be read from.
+
+    A range has about ``rows`` rows, or more where that takes over ``most`` ranges.  ``order`` has to be total.
+    """
+    parts = min(most, max(1, -(-df.count() // rows)))
+    cut = df.repartitionByRange(parts, *order).withColumn("page_range", F.spark_partition_id())
+    path = f"{shared_folder(df.sparkSession)}/pages-{uuid.uuid4().hex}"
+    cut.write.partitionBy("page_range").parquet(path)
+    return df.sparkSession.read.schema(cut.schema).parquet(path)
+
+
+def page_of(index: DataFrame, order: list[str], page: int, per_page: int = fixed.PAGE_SIZE) -> DataFrame:
+    """One page from a ``page_index``: sizes of the ranges say which hold it, and only those are read and sorted."""
+    start, at, held, skipped = (page - 1) * per_page, 0, [], 0
+    for r in index.groupBy("page_range").agg(F.count("*").alias("n")).orderBy("page_range").collect():  # at most as many as ranges
+        if at + r["n"] <= start:
+            skipped = at + r["n"]
+        elif at < start + per_page:
+            held.append(r["page_range"])
+        at += r["n"]
+    rows = index.filter(F.col("page_range").isin(held)).drop("page_range") if held else index.drop("page_range").filter("false")
+    return rows.orderBy(*order).offset(start - skipped).limit(per_page)
+
+
 def number_rows(df: DataFrame, order: list[str], out: str = "row_no", parts: int | None = None) -> DataFrame:
     """Consecutive numbers in the order of ``order``, without one task seeing all rows.
 

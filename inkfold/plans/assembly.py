@@ -87,6 +87,13 @@ def paginate(spark, d):
     return op.paginate(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 3)[0]
 
 
+def paginate_deep(spark, d):
+    """A page far behind, from an index in ranges."""
+    order = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    index = op.page_index(table(spark, d, "lineitem").select(*order), order, rows=1000)
+    return op.page_of(index, order, 250)
+
+
 def page_totals(spark, d):
     return op.paginate(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 3)[1]
 
@@ -122,6 +129,7 @@ QUERIES = {
     "attach_extractions": (attach_extractions, f"WITH {_DOCS} SELECT doc_id, status, coalesce(l, lang) AS language, quality FROM d JOIN x USING (doc_id)"),
     "report_extractions": (report_extractions, f"WITH {_DOCS} SELECT doc_id, status, coalesce(l, lang) AS language, quality FROM d LEFT JOIN x USING (doc_id)"),
     "paginate": (paginate, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20 OFFSET 40"),
+    "paginate_deep": (paginate_deep, "SELECT l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY ALL LIMIT 20 OFFSET 4980"),
     "page_totals": (page_totals, "SELECT 3 AS current_page, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages, count(*) AS total_items FROM orders"),
     "zip_columns": (zip_columns, "WITH a AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS row_no FROM documents), b AS (SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) AS row_no FROM pages) SELECT row_no, doc_id, source, page_id, url FROM a LEFT JOIN b USING (row_no)"),
     "corpus_profile": (corpus_profile, "SELECT lang, source, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest FROM documents GROUP BY 1, 2"),

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import fields as op
+from ..stored import shared_folder
 from .derived import table
 
 FIELDS = [
@@ -97,8 +98,7 @@ def read_result_entities(spark, d):
 def field_template(spark, d):
     """Fields derived from parts, written as a template and read back."""
     rows = table(spark, d, "part").select(F.col("p_name").alias("name"), F.lit("text").alias("type"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("context"), F.when(F.col("p_size") % 3 == 0, F.lit(r"(\d+),\s*")).alias("regex"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/inkfold-{spark.sparkContext.applicationId}/template-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/template-{uuid.uuid4().hex}"
     op.write_field_template(rows, path)
     return op.read_field_template(spark, path)
 
