@@ -77,6 +77,12 @@ PAGE_SIZE = 20
 # ---- fixed values: validation patterns -----------------------------------------
 VALID_EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
 VALID_URL = r"^(https?|ftp)://[^\s/$.?#].[^\s]*\z"
+LANGUAGE_OPTIONS = [
+    "jpn", "eng", "kor", "chi_sim", "chi_tra",
+    "ja", "en", "ko", "zh",
+    "ja-jp", "en-us", "ko-kr", "zh-cn", "zh-tw",
+    "zh-hans", "zh-hant",
+]
 FIELD_TYPES = [
     "text", "date", "amount", "company", "person", "address", "phone", "email", "number",
 ]

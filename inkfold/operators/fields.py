@@ -41,10 +41,12 @@ def extract_fields(docs: DataFrame, fields: list[Field] | None = None, column: s
 def field_description(fields: list[Field]) -> str:
     out = []
     for k, field in enumerate(fields, 1):
-        line = f"{k}. {field['name']} ({field['type']})"
-        line += fixed.REQUEST_CONTEXT.format(field["context"]) if field.get("context") else ""
+        kind = field.get("type") or "text"
+        line = f"{k}. {field['name']} (Type: {kind})"
+        near = ", ".join(f'"{word}"' for word in (field.get("context") or "").split("|"))
+        line += fixed.REQUEST_CONTEXT.format(near) if field.get("context") else ""
         line += fixed.REQUEST_PATTERN.format(field["regex"]) if field.get("regex") else ""
-        out.append(line + fixed.REQUEST_HINTS.get(field["type"], ""))
+        out.append(line + fixed.REQUEST_HINTS.get(kind, ""))
     return "\n\n".join(out)
 
 

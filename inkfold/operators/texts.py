@@ -54,6 +54,25 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFr
     return counts.select(F.inline(rows)), df.withColumn("broken", broken).filter(F.size("broken") > 0)
 
 
+def is_language(value: Column) -> Column:
+    """Codes that a user may ask for, in any case."""
+    return F.lower(value).isin(fixed.LANGUAGE_OPTIONS)
+
+
+def is_field(name: Column, kind: Column) -> Column:
+    """A field to extract has a name; its type is known, or not given."""
+    return name.isNotNull() & (kind.isNull() | kind.isin(fixed.FIELD_TYPES))
+
+
+def is_threshold(value: Column) -> Column:
+    return value.between(0.0, 1.0)
+
+
+def logo_labels(labels: DataFrame, column: str = "description") -> DataFrame:
+    """Image labels that speak of a logo or brand."""
+    return labels.filter(F.coalesce(F.greatest(*[F.contains(F.lower(column), F.lit(w)) for w in fixed.LOGO_KEYWORDS]), F.lit(False)))
+
+
 def is_email(value: Column) -> Column:
     return value.rlike(fixed.VALID_EMAIL)
 

@@ -32,7 +32,7 @@ def extract_fields(spark, d):
 
 
 def build_requests(spark, d):
-    return op.build_requests(_docs(spark, d), FIELDS).select("doc_id", F.length("prompt").cast("bigint").alias("chars"), F.contains("prompt", F.lit("Extract the following fields")).alias("english"))
+    return op.build_requests(_docs(spark, d), FIELDS).select("doc_id", F.length("prompt").cast("bigint").alias("chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 def _responses(spark, d):
@@ -124,10 +124,50 @@ w AS (SELECT epoch, block, CAST(0 AS BIGINT) AS k, s, CAST(NULL AS BIGINT) AS or
   FROM (SELECT c.epoch, c.block, c.k, w.s, c.ord, c.op, c.type, c.name % 4 AS slot_, c.new % 4 AS to_,
     CASE c.op WHEN 'add' THEN w.s[c.name % 4 + 1] IS NULL WHEN 'delete' THEN w.s[c.name % 4 + 1] IS NOT NULL ELSE w.s[c.name % 4 + 1] IS NOT NULL AND (c.new = c.name OR w.s[c.new % 4 + 1] IS NULL) END AS ok
     FROM w JOIN c ON w.epoch = c.epoch AND w.block = c.block AND c.k = w.k + 1) z)"""
+_PROMPTS = r"""WITH p AS (SELECT doc_id, '# 문서 필드 추출
+
+Extract the following fields from this English document.
+
+## 추출할 필드
+1. invoice_number (Type: text)
+   키워드: "No\.", "Ref" 주변에서 값을 찾으세요.
+   패턴: 일반적인 형식은 "([0-9]{1,3}-[0-9]{1,5})"와 같습니다.
+
+2. total_amount (Type: amount)
+   키워드: "total", "sum" 주변에서 값을 찾으세요.
+   패턴: 일반적인 형식은 "([0-9.]+)"와 같습니다.
+   금액에서 통화 기호와 쉼표를 제거하고 숫자만 반환하세요. 예: 1000.50
+
+3. company_name (Type: company)
+   키워드: "company" 주변에서 값을 찾으세요.
+   회사명에서 법적 형태(주식회사, LLC 등)를 포함하여 전체 이름을 추출하세요.
+
+## 추출 규칙
+1. 존재하지 않거나 확인할 수 없는 필드는 null로 반환하세요.
+2. 값이 있으면 정확히 추출하되, 필요 시 정규화하세요.
+3. 주변 문맥을 고려하여 가장 관련성 높은 값을 선택하세요.
+4. 여러 비슷한 값이 있으면, 문서 문맥에 가장 적합한 것을 선택하세요.
+5. 응답은 JSON 형식으로 제공하세요.
+
+## OCR로 추출된 텍스트
+```
+company: Acme' || (doc_id % 9) || ' Ltd' || chr(10) || coalesce(text, '') || chr(10) || 'No. ' || (doc_id % 90) || '-' || (doc_id % 5000) || chr(10) || CASE WHEN doc_id % 4 > 0 THEN 'total: ' || (doc_id % 700) || '.25' ELSE '' END || '
+```
+
+## 응답 형식
+다음과 같은, 필드 이름과 해당 값으로 이루어진 JSON 형식으로 응답하세요:
+```json
+{
+  "필드1": "값1",
+  "필드2": "값2",
+  ...
+}
+```
+JSON만 반환하고 다른 설명은 포함하지 마세요.' AS prompt FROM documents) SELECT doc_id, length(prompt) AS chars, sha256(prompt) AS prompt_sha256 FROM p"""
 
 QUERIES = {
     "extract_fields": (extract_fields, f"WITH {_VALUES} SELECT doc_id, unnest(['invoice_number', 'total_amount', 'company_name']) AS field_name, unnest(['text', 'amount', 'company']) AS field_type, unnest([invoice, amount, company]) AS value FROM v"),
-    "build_extraction_requests": (build_requests, None),
+    "build_extraction_requests": (build_requests, _PROMPTS),
     "parse_extractions": (parse_responses, "WITH g AS (SELECT * FROM documents WHERE doc_id % 7 <> 0) SELECT doc_id, 'invoice_number' AS field_name, 'text' AS field_type, 'A' || doc_id AS value_string, NULL::DOUBLE AS value_double FROM g UNION ALL SELECT doc_id, 'company_name', 'company', NULL, NULL FROM g UNION ALL SELECT doc_id, 'total_amount', 'amount', CASE doc_id % 4 WHEN 0 THEN '-' || (doc_id % 50) || ',5 EUR' WHEN 1 THEN '-' || (doc_id % 50) END, CASE doc_id % 4 WHEN 0 THEN CAST((doc_id % 50) || '5' AS DOUBLE) WHEN 1 THEN CAST(-(doc_id % 50) AS DOUBLE) END FROM g"),
     "parse_extraction_errors": (parse_errors, "SELECT doc_id, 'no JSON object' AS error FROM documents WHERE doc_id % 7 = 0"),
     "export_fields": (export_fields, f"WITH {_VALUES} SELECT source AS origin, CAST(doc_id AS VARCHAR) AS doc_id, invoice AS invoice_number, amount AS total_amount, company AS company_name FROM v"),

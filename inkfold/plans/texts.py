@@ -100,6 +100,24 @@ def json_check(spark, d):
     return op.validate(table(spark, d, "events").withColumn("props", F.when(F.col("event_id") % 5 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props"))), {"json": op.is_json(F.col("props"))})[0]
 
 
+def _options(spark, d):
+    """Requests derived from documents: a language in some spelling, a field with its type, a threshold."""
+    n = F.col("doc_id")
+    code = F.concat(F.upper("lang"), F.element_at(F.array(*[F.lit(x) for x in ("", "-US", "-CN")]), (n % 3 + 1).cast("int")))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("text", "number", None, "colour")]), (n % 4 + 1).cast("int"))
+    return _docs(spark, d).select("doc_id", code.alias("language"), F.when(n % 5 > 0, F.col("text")).alias("field"), kind.alias("kind"), ((n % 13 - 1) / 10.0).alias("threshold"))
+
+
+def reject_options(spark, d):
+    rules = {"language": op.is_language(F.col("language")), "field": op.is_field(F.col("field"), F.col("kind")), "threshold": op.is_threshold(F.col("threshold"))}
+    return op.validate(_options(spark, d), rules)[1].select("doc_id", F.array_join("broken", ",").alias("broken"))
+
+
+def logo_labels(spark, d):
+    labels = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("description"))
+    return op.logo_labels(labels)
+
+
 def _files(spark, d):
     ext = F.element_at(F.array(*[F.lit(x) for x in (".PDF", ".png", ".exe", "")]), (F.col("page_id") % 4 + 1).cast("int"))
     name = F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit(" v?1"), ext)
@@ -217,6 +235,9 @@ QUERIES = {
     "validate_records": (validate, r"WITH c AS (SELECT count(*) FILTER (regexp_matches(url, '^(https?|ftp)://[^\s/$.?#].[^\s]*$')) AS u, count(*) FILTER (regexp_matches('a@' || url, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$')) AS e, count(*) FILTER (length(html) <= 5000) AS s, count(*) AS n FROM pages) SELECT unnest(['url', 'email', 'size']) AS rule, unnest([u, e, s]) AS passed, unnest([n - u, n - e, n - s]) AS failed FROM c"),
     "reject_records": (rejects, r"SELECT page_id, array_to_string(list_filter([CASE WHEN NOT regexp_matches(url, '^(https?|ftp)://[^\s/$.?#].[^\s]*$') THEN 'url' END, CASE WHEN NOT regexp_matches('a@' || url, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$') THEN 'email' END, CASE WHEN length(html) > 5000 THEN 'size' END], lambda x: x IS NOT NULL), ',') AS broken FROM pages WHERE broken <> ''"),
     "validate_json": (json_check, "SELECT 'json' AS rule, count(*) FILTER (event_id % 5 <> 0) AS passed, count(*) FILTER (event_id % 5 = 0) AS failed FROM events"),
+    "reject_options": (reject_options, """SELECT doc_id, concat_ws(',', CASE WHEN lang || ['', '-us', '-cn'][doc_id % 3 + 1] NOT IN ('en', 'en-us') THEN 'language' END,
+  CASE WHEN doc_id % 5 = 0 OR text IS NULL OR doc_id % 4 = 3 THEN 'field' END, CASE WHEN doc_id % 13 NOT BETWEEN 1 AND 11 THEN 'threshold' END) AS broken FROM documents WHERE broken <> ''"""),
+    "logo_labels": (logo_labels, "SELECT * FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END AS description FROM part) t WHERE contains(lower(description), 'logo') OR contains(lower(description), 'brand')"),
     "read_manifest": (read_manifest, f"WITH {_FILES} SELECT page_id, lower(ext) AS extension, CASE lower(ext) WHEN '.pdf' THEN 'application/pdf' WHEN '.png' THEN 'image/png' END AS mime, CASE WHEN lower(ext) NOT IN ('.pdf', '.png') THEN 'unsupported type' WHEN bytes > 5000000 THEN 'too large' END AS rejected FROM named"),
     "clean_manifest": (clean_manifest, f"""WITH {_FILES}, s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(substr(name, 1, length(name) - length(ext)), '[\\\\/*?:"<>|]', '', 'g'), '\\s+', '_', 'g'), '_+', '_', 'g') AS stem, bytes / 1024.0 AS k, bytes / 1048576.0 AS m FROM named)
 SELECT page_id, substr(stem, 1, 12) || ext AS safe_name, length(stem) > 12 AS truncated,

@@ -186,3 +186,19 @@ def test_one_metric_name_may_hold_all_points(spark):
 def test_unknown_comparator_is_an_error(spark):
     with pytest.raises(ValueError, match="comparator"):
         metrics.threshold_alerts(spark.createDataFrame([], "event_id bigint, ts timestamp, name string, value double"), [{"rule": "r", "name": "n", "comparator": "~", "limit": 1, "severity": "info"}])
+
+
+def test_options_and_labels(spark):
+    from inkfold.operators import texts
+
+    rows = spark.createDataFrame([("EN-us", "a", "date", 0.0, "Company LOGO"), ("xx", None, "date", 1.5, "cat"), (None, "a", None, None, None), ("zh-Hant", "a", "colour", 1.0, "brand new")], "lang string, name string, kind string, t double, description string")
+    out = rows.select(texts.is_language(F.col("lang")), texts.is_field(F.col("name"), F.col("kind")), texts.is_threshold(F.col("t"))).collect()
+    assert [tuple(r) for r in out] == [(True, True, True), (False, False, False), (None, True, None), (True, False, True)]
+    assert [r["description"] for r in texts.logo_labels(rows).collect()] == ["Company LOGO", "brand new"]
+
+
+def test_request_wording(spark):
+    from inkfold.operators import fields
+
+    text = fields.field_description([{"name": "due", "type": "date", "context": "due|by"}, {"name": "who", "context": "to"}])
+    assert text.startswith('1. due (Type: date)\n   키워드: "due", "by" 주변에서') and '\n\n2. who (Type: text)\n   키워드: "to" 주변에서' in text
